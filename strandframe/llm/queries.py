@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandframe.llm.heavy_hitters import heavy_hitters
+from strandframe.llm.shared_spans import shared_spans
 from strandframe.llm.splitting import split_oversized
 from strandframe.llm.term_stats import marked, term_statistics
 from strandframe.runtime import cut, table
 
+# --- problem 1: shared spans -------------------------------------------------
+
+
+def p1_found(spark, d):
+    return shared_spans(table(spark, d, "ref_seqs"), "ref_id", "ref_seq", 64)
+
+
+def p1_shared(spark, d):
+    """Number of shared bases of each record that has any."""
+    length = F.col("span_end") - F.col("span_start")
+    return p1_found(spark, d).groupBy("ref_id").agg(F.count("*").alias("spans"), F.sum(length).alias("shared_bases"))
+
+
+_P1 = """
+with t as (select ref_id, upper(ref_seq) s from ref_seqs where length(ref_seq) >= 64),
+i as (select ref_id, s, unnest(range(length(s) - 63)) a from t),
+w as (select ref_id, a, s[a + 1 : a + 64] k from i),
+v as (select * from w where regexp_full_match(k, '[ACGT]{64}')),
+c as (select k from v group by k having min(ref_id) < max(ref_id)),
+h as (select ref_id, a, a - row_number() over (partition by ref_id order by a) g from v semi join c using (k)),
+r as (select ref_id, min(a) s, max(a) + 64 e from h group by ref_id, g),
+n as (select *, case when s > coalesce(max(e) over (partition by ref_id order by s rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end f from r),
+m as (select *, sum(f) over (partition by ref_id order by s) run from n),
+o as (select ref_id, min(s) span_start, max(e) span_end from m group by ref_id, run)
+"""
+
 # --- problem 2: splitting -------------------------------------------------
 
 
@@ -100,6 +127,8 @@ m as (select origin, key44, occurrences, records, case when occurrences > above
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_shared": p1_shared,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
@@ -108,6 +137,8 @@ QUERIES = {
     "p4_terms": p4_terms,
 }
 SQL = {
+    "p1_found": _P1 + "select ref_id, span_start, span_end from o",
+    "p1_shared": _P1 + "select ref_id, count(*) spans, cast(sum(span_end - span_start) as bigint) shared_bases from o group by 1",
     "p2_found": P2_SQL,
     "p3_found": _P3 + "select origin, key44 from a union all select origin, key44 from b",
     "p3_frequent": _P3 + "select * from a union all select * from b",
