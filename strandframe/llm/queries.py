@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandframe.llm.heavy_hitters import heavy_hitters
+from strandframe.llm.packing import pack_items
 from strandframe.llm.shared_spans import shared_spans
 from strandframe.llm.splitting import split_oversized
 from strandframe.llm.term_stats import marked, term_statistics
+from strandframe.llm.tokenizer import token_count, token_ids
 from strandframe.runtime import cut, table
 
 # --- problem 1: shared spans -------------------------------------------------
@@ -126,6 +128,31 @@ u as (select 'seeds' origin, *, 100 above from s union all select 'seed_counts',
 m as (select origin, key44, occurrences, records, case when occurrences > above then 'common' when records = 1 then 'rare' end mark from u)
 """
 
+# --- problem 6: token ids ----------------------------------------------------
+
+
+def p6_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", token_ids(spark, "text").alias("ids"))
+
+
+# --- problem 7: containers of 2,048 tokens -----------------------------------
+
+CAPACITY = 2048
+
+
+def p7_packed(spark, d):
+    """Container and place of every text with a token (of every piece, where the text exceeds a container)."""
+    sizes = table(spark, d, "documents").select("doc_id", token_count(spark, "text").alias("tokens"))
+    placed = pack_items(sizes, "doc_id", "tokens", CAPACITY)
+    return placed.select(F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("container").alias("container_id"), "start")
+
+
+def p7_containers(spark, d):
+    """Texts and tokens of every container, and the space left in it."""
+    used = p7_packed(spark, d).groupBy("container_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    return used.withColumn("space_left", CAPACITY - F.col("tokens"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_shared": p1_shared,
@@ -135,6 +162,9 @@ QUERIES = {
     "p3_frequent": p3_frequent,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
+    "p6_ids": p6_ids,
+    "p7_packed": p7_packed,
+    "p7_containers": p7_containers,
 }
 SQL = {
     "p1_found": _P1 + "select ref_id, span_start, span_end from o",
