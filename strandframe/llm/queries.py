@@ -8,6 +8,7 @@ from strandframe.llm.heavy_hitters import heavy_hitters
 from strandframe.llm.packing import pack_items
 from strandframe.llm.shared_spans import shared_spans
 from strandframe.llm.splitting import split_oversized
+from strandframe.llm.subjects import assign_subjects
 from strandframe.llm.term_stats import marked, term_statistics
 from strandframe.llm.tokenizer import token_count, token_ids
 from strandframe.runtime import cut, table
@@ -153,6 +154,20 @@ def p7_containers(spark, d):
     return used.withColumn("space_left", CAPACITY - F.col("tokens"))
 
 
+# --- problem 8: subjects -------------------------------------------------------
+
+
+def p8_found(spark, d):
+    return assign_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_examples"), "text", "subject")
+
+
+def p8_composition(spark, d):
+    """Documents of each subject area, those without a document included."""
+    areas = table(spark, d, "subject_areas").select("subject").distinct()
+    counts = p8_found(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+    return areas.join(counts, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_shared": p1_shared,
@@ -165,6 +180,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 SQL = {
     "p1_found": _P1 + "select ref_id, span_start, span_end from o",

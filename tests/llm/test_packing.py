@@ -27,7 +27,7 @@ def check(rows, placed, capacity):
             parts = sorted(whole[item], key=lambda r: r.piece)
             assert [p.piece for p in parts] == list(range(-(-size // capacity)))
             assert all(p.size == capacity for p in parts[:-1])
-        elif size and sum(x[0] == item for x in rows) == 1:
+        elif size and size >= 1 and sum(x[0] == item for x in rows) == 1:
             assert [p.size for p in whole[item]] == [size]
     for spans in containers.values():
         at = 0
