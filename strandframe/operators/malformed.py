@@ -110,4 +110,4 @@ def valid_rows(parsed: DataFrame, keep: Sequence[str] = (), fmt: LineFormat = RE
 
 def rejected_rows(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Rows with an error and the first reason that holds."""
-    return parsed.filter(F.size("errors") > 0).select(*keep, F.element_at("errors", 1).alias("reason"))
+    return parsed.filter(F.size("errors") > 0).select(*keep, F.get("errors", F.lit(0)).alias("reason"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from strandframe.plans import malformed_queries
+from strandframe.plans import malformed_queries, mapper_queries, sam_queries
 
-_MODULES = (malformed_queries,)
+_MODULES = (mapper_queries, sam_queries, malformed_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark, directory):
     """The query that stands for the whole engine."""
-    return QUERIES["p5_found"](spark, directory)
+    return QUERIES["map_paired"](spark, directory)
