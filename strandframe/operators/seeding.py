@@ -36,16 +36,17 @@ def seed_hits(probed: DataFrame, index: DataFrame, cfg: MapperConfig = CONFIG) -
 
 
 def diagonal_votes(hits: DataFrame) -> DataFrame:
-    """Votes of each diagonal, with its first hit, and whether a probe was full."""
+    """Votes of each diagonal, with the probe and place of its first hit in one number, and whether a probe was full."""
     return hits.groupBy(*READ, "ref_id", "is_rev", "diag").agg(
-        F.count("*").alias("votes"), F.min(F.struct("qpos", "pos")).alias("first"), F.max("full").alias("full")
+        F.count("*").alias("votes"), F.min(F.shiftleft(F.col("qpos").cast("bigint"), 32) + F.col("pos")).alias("first"), F.max("full").alias("full")
     )
 
 
-def best_diagonals(votes: DataFrame) -> DataFrame:
-    """The commonest diagonal of each (read, reference, strand); the one met first wins ties."""
+def best_diagonals(votes: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """The commonest diagonal of each (read, reference, strand); the one met first wins ties. ``also``: further columns to keep."""
     order = Window.partitionBy(*READ, "ref_id", "is_rev").orderBy(F.desc("votes"), "first")
-    return votes.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*READ, "ref_id", "is_rev", "diag", "votes", F.col("first.qpos").alias("anchor"))
+    first = votes.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return first.select(*READ, "ref_id", "is_rev", "diag", "votes", F.shiftright("first", 32).cast("int").alias("anchor"), *(also or []))
 
 
 def top_candidates(hits: DataFrame, cfg: MapperConfig = CONFIG) -> DataFrame:
@@ -53,19 +54,17 @@ def top_candidates(hits: DataFrame, cfg: MapperConfig = CONFIG) -> DataFrame:
 
     Columns: read, ``vote_rank`` (1, 2), ref_id, is_rev, diag, votes, anchor, mapq. The
     confidence of the first follows from its lead over the second relative to all hits;
-    the second has none. Ties go to the lower reference, forward strand first.
+    the second has none. Ties go to the lower reference, forward strand first. All
+    windows share the partitioning by read, so the hits are shuffled once.
     """
-    votes = diagonal_votes(hits)
     whole = Window.partitionBy(*READ)
-    total = votes.groupBy(*READ).agg(F.sum("votes").alias("hits"), F.max("full").alias("full"))
+    votes = diagonal_votes(hits).select("*", F.sum("votes").over(whole).alias("hits"), F.max("full").over(whole).alias("any_full"))
     order = whole.orderBy(F.desc("votes"), "ref_id", "is_rev")
-    groups = best_diagonals(votes).withColumn("vote_rank", F.row_number().over(order))
+    groups = best_diagonals(votes, ["hits", "any_full"]).withColumn("vote_rank", F.row_number().over(order))
     second = F.coalesce(F.lead("votes").over(order), F.lit(0))
     top = groups.withColumn("__second", second).filter((F.col("vote_rank") <= 2) & (F.col("votes") >= cfg.least_votes))
     x = (F.col("votes") - F.col("__second")) / F.greatest(F.col("hits"), F.lit(1))
     wrong = F.greatest(1 / (1 + F.exp(5 * (x - 0.5))), F.lit(1e-6))
-    capped = F.col("full") | (F.col("hits") >= cfg.most_per_read)
+    capped = F.col("any_full") | (F.col("hits") >= cfg.most_per_read)
     mapq = F.least(F.round(-10 * F.log10(wrong)), F.when(capped, 30).otherwise(60)).cast("int")
-    return top.join(total, READ).select(
-        *READ, "vote_rank", "ref_id", "is_rev", "diag", "votes", "anchor", F.when(F.col("vote_rank") == 1, mapq).otherwise(0).alias("mapq")
-    )
+    return top.select(*READ, "vote_rank", "ref_id", "is_rev", "diag", "votes", "anchor", F.when(F.col("vote_rank") == 1, mapq).otherwise(0).alias("mapq"))

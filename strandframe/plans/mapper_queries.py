@@ -102,7 +102,7 @@ def seed_hits_capped(spark, d):
 
 
 def diag_votes(spark, d):
-    return diagonal_votes(_hits(spark, d)).select("read_id", "mate", "ref_id", "is_rev", "diag", "votes", F.col("first.qpos").alias("first_qpos"))
+    return diagonal_votes(_hits(spark, d)).select("read_id", "mate", "ref_id", "is_rev", "diag", "votes", F.shiftright("first", 32).cast("int").alias("first_qpos"))
 
 
 def best_diag(spark, d):
