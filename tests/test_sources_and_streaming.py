@@ -72,3 +72,64 @@ def test_sets_and_metrics(spark):
     row = E.accuracy(E.judged(E.truth_from_names(sam), E.tool_results(sam))).first()
     assert (row.tp, row.fp, row.fn) == (0, 1, 1)
     assert E.first_errors(E.judged(E.truth_from_names(sam), E.tool_results(sam))).first().error == "Dist 895"
+
+
+def test_command_line_and_bam(spark, tmp_path):
+    import struct
+    import zlib
+
+    from strandframe.__main__ import main
+
+    rng = random.Random(6)
+    seqs = {f"r{i}": "".join(rng.choice("ACGT") for _ in range(900)) for i in range(3)}
+    put(tmp_path / "ref.fa", "".join(f">{n} x\n{s[:500]}\n{s[500:]}\n" for n, s in seqs.items()))
+    refs = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(seqs.items())], "ref_id bigint, ref_name string, seq string")
+    reads = simulated_pairs(refs).collect()
+    for m in (1, 2):
+        put(tmp_path / f"a_{m}.fq", "".join(f"@{r.name}/{m}\n{r[f'seq{m}']}\n+\n{r[f'qual{m}']}\n" for r in reads))
+    main(["build", str(tmp_path / "ref.fa"), str(tmp_path / "index")], spark)
+    both = ["-1", str(tmp_path / "a_1.fq"), "-2", str(tmp_path / "a_2.fq")]
+    main(["map", str(tmp_path / "index"), *both, "-o", str(tmp_path / "sam")], spark)
+    sam = X.read_sam(spark, str(tmp_path / "sam/body")).collect()
+    assert len(sam) == 2 * len(reads) and sum(r.flag & 4 == 0 for r in sam) >= 0.95 * len(sam)
+    main(["map", str(tmp_path / "index"), *both, "-o", str(tmp_path / "bam"), "--format", "BAM", "--sort"], spark)
+    found = []
+    for path in sorted((tmp_path / "bam").iterdir()):
+        data = path.read_bytes()
+        plain = gzip.decompress(data)
+        assert data.endswith(bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
+        at = 8 + struct.unpack_from("<i", plain, 4)[0]
+        names = []
+        n = struct.unpack_from("<i", plain, at)[0]
+        at += 4
+        for _ in range(n):
+            size = struct.unpack_from("<i", plain, at)[0]
+            names.append(plain[at + 4 : at + 3 + size].decode())
+            at += 8 + size
+        assert names == list(seqs)
+        while at < len(plain):
+            size, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mpos, tlen = struct.unpack_from("<iiiBBHHHiiii", plain, at)
+            start = at + 36
+            name = plain[start : start + l_name - 1].decode()
+            cigar = "".join(f"{x >> 4}{'MIDNSHP=X'[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", plain, start + l_name)) or "*"
+            packed = plain[start + l_name + 4 * n_cigar :][: (l_seq + 1) // 2]
+            seq = "".join("=ACMGRSVTWYHKDBN"[x] for b in packed for x in (b >> 4, b & 15))[:l_seq]
+            found.append((name, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, tlen, seq))
+            at += 4 + size
+    assert sorted(found) == sorted((r.qname, r.flag, r.rname, r.pos, r.mapq, r.cigar, r.tlen, r.seq) for r in sam)
+    assert zlib.crc32(b"") == 0
+    with pytest.raises(SystemExit):
+        main(["map", str(tmp_path / "index"), *both, "-1", "x", "-o", "y"], spark)
+
+
+def test_sql_functions(spark):
+    from strandframe.functions.registration import register_functions
+    from strandframe.operators.syncmers import explode_syncmers
+
+    register_functions(spark)
+    seq = "".join(random.Random(3).choice("ACGT") for _ in range(300))
+    df = spark.createDataFrame([(1, seq), (2, None), (3, "ACG")], "id int, seq string")
+    df.createOrReplaceTempView("some")
+    got = spark.sql("select id, key44, pos from some, lateral syncmers(seq)").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, explode_syncmers(df, ["id"], "seq").collect()))
+    assert tuple(spark.sql("select reverse_complement('ACgtR'), cigar_span('3S10M2I4D')").first()) == ("NacGT", 14)
