@@ -151,6 +151,11 @@ def run_summary(rows: DataFrame, references: DataFrame) -> DataFrame:
     return out.select("reads", "mapped", percent, "mapped_bases", "genome_size", _ratio(F.col("mapped_bases"), F.col("genome_size")).alias("mean_coverage"))
 
 
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Add rows of metrics to a folder of CSV files with a header."""
+    metrics.coalesce(1).write.mode("append").option("header", True).csv(path)  # metrics are a few rows
+
+
 def longest_references(references: DataFrame, n: int) -> DataFrame:
     """The n longest references; ties by id."""
     return references.filter("seq is not null").select("ref_id", "ref_name", F.length("seq").alias("length")).orderBy(F.desc("length"), "ref_id").limit(n)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from strandframe.config import CONFIG, MapperConfig
 from strandframe.operators.extension import extend_candidates
+from strandframe.operators.index import build_index, read_index, write_index
 from strandframe.operators.multipass import map_in_passes
-from strandframe.operators.index import build_index
 from strandframe.operators.pairing import first_alignments, resolve_pairs
 from strandframe.operators.sam import coordinate_sorted, sam_rows
 from strandframe.operators.seeding import probes, seed_hits, top_candidates
@@ -37,3 +40,35 @@ def map_reads_in_passes(reads: DataFrame, references: DataFrame, letters: int, c
     """SAM rows with references taken in passes of about ``letters`` letters; the first pass that maps a mate wins."""
     found = map_in_passes(reads, references, letters, lambda r, refs: align(r, build_index(refs, cfg=cfg), refs, cfg))
     return sam_rows(reads, first_alignments(found.drop("ref_pass")), references, "plain", cfg)
+
+
+class MappingSession:
+    """References and index kept for several batches of reads, with running totals.
+
+    The index is written once below ``path``, a folder that all executors share, and
+    read by every batch.
+    """
+
+    def __init__(self, references: DataFrame, path: str, cfg: MapperConfig = CONFIG):
+        self.spark, self.cfg, self.path = references.sparkSession, cfg, path
+        references.select("ref_id", "ref_name", "seq").write.mode("overwrite").parquet(f"{path}/references")
+        self.references = self.spark.read.parquet(f"{path}/references")
+        write_index(build_index(self.references, cfg=cfg), f"{path}/seeds")
+        self.index = read_index(self.spark, f"{path}/seeds")
+        self.totals = {"reads": 0, "mapped": 0, "mapped_bases": 0, "seconds": 0.0}
+
+    def map_to(self, reads: DataFrame, output: str, **options) -> dict[str, float]:
+        """Map a batch, write its SAM rows as Parquet, and return the totals so far with reads per second.
+
+        The counts are observed while the rows are written; nothing is read again.
+        """
+        seen, began = Observation(), time.monotonic()
+        mapped = F.col("flag").bitwiseAND(4) == 0
+        rows = map_reads(reads, self.index, self.references, cfg=self.cfg, **options).observe(
+            seen, F.count("*").alias("reads"), F.count_if(mapped).alias("mapped"), F.coalesce(F.sum(F.when(mapped, F.length("seq"))), F.lit(0)).alias("mapped_bases")
+        )
+        rows.write.mode("append").parquet(output)
+        for name, value in seen.get.items():
+            self.totals[name] += value
+        self.totals["seconds"] += time.monotonic() - began
+        return self.totals | {"reads_per_second": self.totals["reads"] / max(self.totals["seconds"], 1e-9)}

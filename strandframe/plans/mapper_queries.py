@@ -13,6 +13,7 @@ from strandframe.operators.syncmers import explode_syncmers
 from strandframe.plans import views as V
 from strandframe.plans.map_reads import align, map_reads, map_reads_in_passes
 from strandframe.plans.simulate import simulated_pairs
+from strandframe.runtime import cut
 
 
 def _seeds(spark, d):
@@ -120,21 +121,26 @@ def align_single(spark, d):
     return found.withColumn("cigar", S.cigar_text(F.col("cigar")))
 
 
+def _reads(spark, d):
+    """The reads, written once: they are needed for probes, extension and SAM rows."""
+    return cut(V.reads(spark, d))
+
+
 def map_paired(spark, d):
     """SAM rows of all reads against all references."""
-    return map_reads(V.reads(spark, d), _seeds(spark, d), V.references(spark, d))
+    return map_reads(_reads(spark, d), _seeds(spark, d), V.references(spark, d))
 
 
 def map_sorted_plain(spark, d):
     """The same without pairing, in the order of places."""
-    return map_reads(V.reads(spark, d), _seeds(spark, d), V.references(spark, d), pairing="none", style="plain", sort=True)
+    return map_reads(_reads(spark, d), _seeds(spark, d), V.references(spark, d), pairing="none", style="plain", sort=True)
 
 
 def map_in_passes(spark, d):
     """SAM rows with the references in passes of a third of their length."""
     refs = V.references(spark, d)
     total = refs.agg(F.sum(F.length("seq"))).first()[0] or 1
-    return map_reads_in_passes(V.reads(spark, d), refs, -(-total // 3))
+    return map_reads_in_passes(_reads(spark, d), refs, -(-total // 3))
 
 
 def simulated_reads(spark, d):

@@ -272,3 +272,21 @@ def test_column_functions(spark):
     assert tuple(got["a"].t) == ("r1_10_20_0_1_0:0:0_7", "r1", 10, 20) and got["b"].t is None and got["c"].t.ref == "a_b"
     tags = spark.createDataFrame([(["NM:i:3", "AS:i:-4"],), ([],)], "t array<string>").select(S.tag_value(F.col("t"), "AS").alias("v")).collect()
     assert {r.v for r in tags} == {-4, None}
+
+
+def test_session_over_batches(spark, world, tmp_path):
+    from strandframe.operators.evaluation import append_metrics, run_summary
+    from strandframe.plans.map_reads import MappingSession
+
+    reads = simulated_pairs(world).limit(12).cache()
+    session = MappingSession(world, str(tmp_path / "session"))
+    session.map_to(reads.filter("read_id % 2 = 0"), str(tmp_path / "out"))
+    totals = session.map_to(reads.filter("read_id % 2 = 1"), str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert totals["reads"] == rows.count() == 2 * reads.count()
+    summary = run_summary(rows, world)
+    assert summary.first().mapped == totals["mapped"] and summary.first().mapped_bases == totals["mapped_bases"]
+    for _ in range(2):
+        append_metrics(summary, str(tmp_path / "metrics"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "metrics")).count() == 2
+    assert run_summary(rows.limit(0), world.limit(0)).first().mean_coverage == 0
