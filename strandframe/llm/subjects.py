@@ -225,7 +225,8 @@ def assign_subjects(
     """
     spark = documents.sparkSession
     worded = lambda c: F.transform(sentences(F.col(c)), terms)
-    rows = documents.select(F.col(item).cast("bigint").alias("item"), worded(text).alias("s")).filter(F.size("s") > 0)
+    # Written once, as the words are read for the vocabulary and again for the units.
+    rows = cut(documents.select(F.col(item).cast("bigint").alias("item"), worded(text).alias("s")).filter(F.size("s") > 0))
     shown = examples.filter(F.col(example_subject).isNotNull()).select(F.col(example_subject).alias("subject"), worded(example_text).alias("s")).filter(F.size("s") > 0)
     # What the examples say of their terms: at most their vocabulary times the subjects.
     used = shown.select("subject", F.explode(F.array_distinct(F.flatten("s"))).alias("word")).groupBy("word", "subject").count().collect()
