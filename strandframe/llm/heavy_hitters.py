@@ -20,6 +20,7 @@ Let a value be frequent if it holds at least ``share`` of the total weight.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -181,7 +182,8 @@ def heavy_hitters(df: DataFrame, value: str, share: float, weight: str | None =
     rows = rows.select(F.col(value).cast("bigint").alias("value"), heavy.alias("weight")).select("*", *_hashes(repetitions, groups))
     if total is None:
         total = rows.agg(F.sum("weight")).first()[0] or 0
-    least = max(1, int(np.ceil(share * total - 1e-9)))
+    exact = Fraction(share).limit_denominator(10**9)
+    least = max(1, -(-total * exact.numerator // exact.denominator))
 
     def found_in(frame: DataFrame) -> DataFrame:
         return frame.groupBy("value").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= least)
