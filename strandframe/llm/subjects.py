@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,12 +243,17 @@ def assign_subjects(
     if not subjects or not vocabulary:
         return spark.createDataFrame([], "doc_id bigint, subject string")
     number = {w: i for i, w in enumerate(vocabulary)}
-    index = spark.sparkContext.broadcast(number)
+    index = spark.sparkContext.broadcast(pa.array(vocabulary))
 
     @F.arrow_udf("array<array<int>>")
     def numbers(lists: pa.Array) -> pa.Array:
-        at = index.value
-        return pa.array([[[at[w] for w in ws if w in at] for ws in s] for s in lists.to_pylist()], pa.list_(pa.list_(pa.int32())))
+        inner = lists.flatten()
+        at = pc.index_in(inner.flatten(), value_set=index.value)
+        kept = np.concatenate(([0], np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))))
+        ends = inner.offsets.to_numpy() - inner.offsets[0].as_py()
+        outer = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        found = pa.ListArray.from_arrays(pa.array(kept[ends].astype(np.int32)), at.drop_null())
+        return pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), found)
 
     label = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1
     units = rows.select("item", F.lit(-1).alias("label"), numbers("s").alias("terms"))
@@ -276,7 +282,7 @@ def assign_subjects(
         # Terms that the examples lack are tied to the subject that the corpus shows them with.
         learned = (counts[:, :-1].max(axis=1) >= settings.clear * counts.sum(axis=1)) & (counts.sum(axis=1) >= settings.learned_count)
         model = shared_model(counts, known | learned)
-    named = name_topics(counts / counts.sum(axis=0), seen, subjects, settings.top_terms)
+    named = name_topics(counts / np.maximum(counts.sum(axis=0), 1e-300), seen, subjects, settings.top_terms)
     named[-1] = None  # the shared topic
     found = units.filter(F.col("label") < 0).mapInArrow(_subjects_shown(model, prior, named, least_share, settings), "doc_id bigint, subject string")
     return found.distinct()
