@@ -250,7 +250,7 @@ judged as (select tool, truth.qname, truth.mate, ref, truth.pos, rname, r.pos fo
 
 def _scores(tp: str, fp: str, positives: str) -> str:
     p, r = f"case when {tp} + {fp} > 0 then {tp} / ({tp} + {fp}) else 0 end", f"case when {positives} > 0 then {tp} / {positives} else 0 end"
-    return f"100 * ({p}) as precision, 100 * ({r}) as recall, case when ({p}) + ({r}) > 0 then 100 * 2 * ({p}) * ({r}) / (({p}) + ({r})) else 0 end as f1"
+    return f"100 * ({p}) as precision, 100 * ({r}) as recall, case when ({p}) + ({r}) > 0 then 100 * ((2 * ({p}) * ({r})) / (({p}) + ({r}))) else 0 end as f1"
 
 
 _VARIANTS = """with v as (select l_partkey || ':' || l_suppkey as key, l_returnflag caller from lineitem),
@@ -275,10 +275,10 @@ SQL = {
     "run_summary": _SAM
     + """, s as (select count(*) n, count(*) filter (flag & 4 = 0) mapped, coalesce(sum(length(seq)) filter (flag & 4 = 0), 0)::bigint b from sam),
         g as (select coalesce(sum(length(seq)), 0)::bigint g from refs)
-        select n reads, mapped, round(100 * mapped / n, 2) as percent, b mapped_bases, g genome_size, b / g mean_coverage from s, g""",
+        select n reads, mapped, round(100 * (mapped / n), 2) as percent, b mapped_bases, g genome_size, b / g mean_coverage from s, g""",
     "mapping_rate": _SAM
     + """, s as (select batch_id, count(*) total, count(*) filter (flag & 4 = 0) mapped from sam join reads using (read_id) group by 1)
-        select batch_id, total, mapped, round(100 * mapped / total, 2) as percent from s""",
+        select batch_id, total, mapped, round(100 * (mapped / total), 2) as percent from s""",
     "reference_passes": f"""with {REFS} select ref_id,
         (coalesce(sum(coalesce(length(seq), 0)) over (order by ref_id rows between unbounded preceding and 1 preceding), 0) // 100000)::int ref_pass from refs""",
     "multipass_first": f"""with {PLANTED}, p as (select read_id, mate, rank, ref_id % 3 ref_pass, min(ref_id % 3) over (partition by read_id, mate) f from planted)
