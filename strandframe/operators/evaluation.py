@@ -47,8 +47,9 @@ def tool_results(sam: DataFrame, order: str = "row_no") -> DataFrame:
 
 def judged(truth: DataFrame, results: DataFrame, tolerance: int = 10) -> DataFrame:
     """Every true place with each tool's place and ``verdict``: TP, FP or FN."""
-    tools = results.select("tool").distinct()
-    want = truth.crossJoin(F.broadcast(tools))  # tools are few, by their kind
+    tools = [r["tool"] for r in results.select("tool").distinct().orderBy("tool").collect()]  # tools are few, by their kind
+    each = F.array(*[F.lit(t) for t in tools]) if tools else F.array().cast("array<string>")
+    want = truth.select("*", F.explode(each).alias("tool"))
     got = results.withColumnsRenamed({"pos": "found"})
     hit = (F.col("rname") == F.col("ref")) & (F.abs(F.col("found") - F.col("pos")) <= tolerance)
     verdict = F.when(F.col("rname").isNull(), "FN").when(hit, "TP").otherwise("FP")
@@ -76,11 +77,10 @@ def first_mate_accuracy(truth: DataFrame, sam: DataFrame, tolerance: int = 30) -
     rows = sam.filter(~flag_set(flag, 256) & ~flag_set(flag, 2048) & ~flag_set(flag, 4) & ~flag_set(flag, 128))
     rows = rows.select("tool", F.split("qname", "/", 2)[0].alias("qname"), "rname", F.col("pos").alias("found"))
     first = truth.filter("mate = 1")
-    pairs = first.agg(F.count("*").alias("pairs"))
+    pairs = F.lit(first.count())
     right = (F.col("rname") == F.col("ref")) & (F.abs(F.col("found") - F.col("pos")) < tolerance)
     by_tool = rows.join(first, "qname").groupBy("tool").agg(F.count("*").alias("mapped"), F.count_if(right).alias("correct"))
-    out = by_tool.crossJoin(F.broadcast(pairs))  # one row
-    return out.select("tool", "pairs", "mapped", "correct", *scores(F.col("correct"), F.col("mapped") - F.col("correct"), F.col("pairs")))
+    return by_tool.withColumn("pairs", pairs).select("tool", "pairs", "mapped", "correct", *scores(F.col("correct"), F.col("mapped") - F.col("correct"), F.col("pairs")))
 
 
 def set_regions(sets: DataFrame, key: str, member: str, names: Sequence[str]) -> DataFrame:
@@ -137,16 +137,17 @@ def not_done(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def experiment_grid(spark, coverages=(1, 3), mutations=(0.001, 0.01), tools=("a", "b")) -> DataFrame:
     """Every combination of coverage, mutation rate and tool."""
-    one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return one("coverage", coverages, "int").crossJoin(one("mutation", mutations, "double")).crossJoin(one("tool", tools, "string"))
+    every = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    rows = spark.range(0, 1, 1, 1).select(every(coverages).alias("coverage")).select("*", every(mutations).alias("mutation"))
+    return rows.select("*", every(tools).alias("tool"))
 
 
 def run_summary(rows: DataFrame, references: DataFrame) -> DataFrame:
     """reads, mapped, percent, mapped_bases, genome_size, mean_coverage (0 for an empty reference) of SAM rows."""
     mapped = ~flag_set(F.col("flag"), 4)
-    size = references.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("genome_size"))
+    size = references.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
     n = rows.agg(F.count("*").alias("reads"), F.count_if(mapped).alias("mapped"), F.coalesce(F.sum(F.when(mapped, F.length("seq"))), F.lit(0)).alias("mapped_bases"))
-    out = n.crossJoin(F.broadcast(size))  # one row each
+    out = n.withColumn("genome_size", F.lit(size).cast("bigint"))
     percent = F.round(100 * _ratio(F.col("mapped"), F.col("reads")), 2).alias("percent")
     return out.select("reads", "mapped", percent, "mapped_bases", "genome_size", _ratio(F.col("mapped_bases"), F.col("genome_size")).alias("mean_coverage"))
 
