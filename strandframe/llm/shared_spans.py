@@ -41,6 +41,9 @@ _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _CODE[_b + 32] = _i
 
+#: The four letters that a byte holds.
+_FOUR = [bytes((v >> 6, v >> 4 & 3, v >> 2 & 3, v & 3)) for v in range(256)]
+
 _SEGMENT = "code bigint, before bigint, after bigint, extent int"
 _KEY = ["code", "before", "after", "extent"]
 
@@ -140,7 +143,8 @@ def _letters(code: int, before: int, after: int, extent: int) -> bytes:
     left, right = divmod(extent, 64)
     value = ((before % 2**64) << (2 * ANCHOR) | code % 2**64) << (2 * right) | after % 2**64
     n = left + ANCHOR + right
-    return bytes((value >> (2 * (n - 1 - i))) & 3 for i in range(n))
+    packed = (value << (-2 * n % 8)).to_bytes(-(-n // 4), "big")
+    return b"".join(map(_FOUR.__getitem__, packed))[:n]
 
 
 class Automaton:
@@ -172,14 +176,23 @@ class Automaton:
         return r
 
     def add(self, word: bytes, least: int, most: int) -> None:
-        nxt, link, length = self.next, self.link, self.length
+        nxt, link, length, low, high = self.next, self.link, self.length, self.least, self.most
         last = 0
         for c in word:
             q = nxt[last][c]
             if q >= 0:
                 last = q if length[q] == length[last] + 1 else self._split(last, c, q)
+                if least < low[last]:
+                    low[last] = least
+                if most > high[last]:
+                    high[last] = most
             else:
-                new = self._state([-1] * 4, length[last] + 1, 0)
+                new = len(link)
+                nxt.append([-1, -1, -1, -1])
+                length.append(length[last] + 1)
+                low.append(least)
+                high.append(most)
+                link.append(0)
                 p = last
                 while p >= 0 and nxt[p][c] < 0:
                     nxt[p][c] = new
@@ -188,10 +201,6 @@ class Automaton:
                     q = nxt[p][c]
                     link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
                 last = new
-            if least < self.least[last]:
-                self.least[last] = least
-            if most > self.most[last]:
-                self.most[last] = most
 
     def close(self) -> None:
         """Hand owners on to the suffixes."""
@@ -206,15 +215,16 @@ class Automaton:
     def spans(self, word: bytes, owner: int, min_len: int) -> list[tuple[int, int]]:
         """Maximal unions of the stretches of at least ``min_len`` letters of a word that others than ``owner`` hold too."""
         out: list[list[int]] = []
+        nxt, link, length, low, high = self.next, self.link, self.length, self.least, self.most
         v = 0
         for end, c in enumerate(word, 1):
-            v = self.next[v][c]
+            v = nxt[v][c]
             if end < min_len:
                 continue
             u = v
-            while self.least[u] == owner == self.most[u]:
-                u = self.link[u]
-            n = min(self.length[u], end)
+            while low[u] == owner == high[u]:
+                u = link[u]
+            n = min(length[u], end)
             if n >= min_len:
                 if out and out[-1][1] >= end - n:
                     out[-1][1] = end
