@@ -26,6 +26,7 @@ class MapperConfig:
 
 CONFIG = MapperConfig()
 
-# The numbers that stand for A, C, G, T in the rolling hash, and its multiplier.
+# The numbers that stand for A, C, G, T in the rolling hash, and its multiplier; the bits of
+# the doubles e - 2, pi - 3, sqrt(2) - 1, sqrt(3) - 1 and 1.618033988749.
 BASE_HASH = (0x3FE6FC2A2C515DA4, 0x3FC21FB54442D180, 0x3FDA827999FCEF34, 0x3FE76CF5D0B09954)
-MULTIPLIER = 0x3FF9E3779B97F4EA
+MULTIPLIER = 0x3FF9E3779B97E4EA

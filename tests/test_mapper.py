@@ -1,4 +1,6 @@
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -20,6 +22,11 @@ MASK = 2**64 - 1
 rotl = lambda x, n: ((x << (n % 64)) | (x >> (64 - n % 64))) & MASK if n % 64 else x
 
 
+def test_hash_constants_are_the_bits_of_their_doubles():
+    bits = [struct.unpack("<Q", struct.pack("<d", x))[0] for x in (math.e - 2, math.pi - 3, math.sqrt(2) - 1, 1.7320508075688772 - 1, 1.618033988749)]
+    assert [*BASE_HASH, MULTIPLIER] == bits
+
+
 def literal_hash(word):
     h = 0
     for c in word:
