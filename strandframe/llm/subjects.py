@@ -10,7 +10,9 @@ stays with a subject while it takes in words of the corpus that the examples lac
 Each round of variational inference is one Spark job: the documents stay where they
 are, the topic-word weights (a vocabulary of bounded size times the number of topics)
 are broadcast, each task infers the topics of its documents' sentences in Arrow
-batches and sums the expected counts by term, Spark sums them over tasks. A sentence
+batches and sums the expected counts by term, Spark sums them over tasks. The weights
+of terms beyond the bounded size stay a Spark table, joined to the documents that use
+them in each round, so that no term is left out for its rank. A sentence
 without any word that the examples, or earlier rounds, tie to a subject counts for the
 shared topic then.
 After the last round the topics are mapped to subjects by their top terms, as the
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.runtime import cut
@@ -36,7 +38,7 @@ from strandframe.runtime import cut
 class TopicSettings:
     """Parameters of the model."""
 
-    vocabulary: int = 200_000  #: most terms of the model, the commonest by sentences; bounds what is broadcast
+    vocabulary: int = 200_000  #: most terms whose weights are broadcast, the commonest by texts; those of the rest are joined
     rounds: int = 5  #: passes over the corpus
     inner: int = 4  #: updates of a sentence's proportions in a pass
     last_inner: int = 10  #: the same when subjects are assigned
@@ -68,16 +70,21 @@ def exp_digamma(x: np.ndarray) -> np.ndarray:
     return np.exp(-1 / x - 1 / (x + 1)) * (y + 1 / (24 * y))
 
 
-def infer(tokens: np.ndarray, start: np.ndarray, document: np.ndarray, weights: np.ndarray, prior: np.ndarray, allowed: np.ndarray, rounds: int, stray: float):
+def exp_digamma_column(x: Column) -> Column:
+    """The same of a column."""
+    y = x + 1.5
+    return F.exp(-1 / x - 1 / (x + 1)) * (y + 1 / (24 * y))
+
+
+def infer(w: np.ndarray, start: np.ndarray, document: np.ndarray, prior: np.ndarray, allowed: np.ndarray, rounds: int, stray: float):
     """Topic probabilities of sentences, and topic shares of their tokens.
 
-    ``tokens`` holds the tokens of all sentences one after the other, ``start`` the first
+    ``w`` holds the weights of the tokens of all sentences one after the other, ``start`` the first
     token of each (none is empty), ``document`` the ascending number of its document;
     ``allowed`` says which topics a sentence may have. All words of a sentence come from
     its topic, but for the share ``stray`` that comes from the shared one, the last.
     """
-    many = np.diff(np.append(start, len(tokens)))
-    w = weights[tokens]
+    many = np.diff(np.append(start, len(w)))
     mixed = (1 - stray) * w + stray * w[:, -1:]
     fit = np.where(allowed, np.add.reduceat(np.log(mixed), start), -np.inf)
     own = (1 - stray) * w / mixed
@@ -107,13 +114,55 @@ class _Part:
     tokens: np.ndarray
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[_Part]:
+@dataclass
+class _Rare:
+    """Terms of a batch that aren't broadcast; they are numbered after those that are."""
+
+    words: pa.Array
+    weights: np.ndarray
+    tied: np.ndarray
+
+
+def _rare(batch: pa.RecordBatch, topics: int) -> tuple[_Rare, np.ndarray, np.ndarray, np.ndarray]:
+    """The rare terms of a batch; row, sentence in the row and number of each of their tokens."""
+    none = np.zeros(0, dtype=np.int64)
+    at = batch.schema.get_field_index("rare")
+    found = batch.column(at).flatten() if at >= 0 else []
+    if not len(found):
+        return _Rare(pa.array([], pa.string()), np.zeros((0, topics), dtype=np.float32), np.zeros(0, dtype=bool)), none, none, none
+    sentence, word, weights, tied = found.flatten()
+    coded = word.dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    _, first = np.unique(number, return_index=True)
+    rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    matrix = weights.flatten().to_numpy(zero_copy_only=False).reshape(-1, topics)[first]
+    return _Rare(coded.dictionary, matrix, tied.to_numpy(zero_copy_only=False)[first]), rows, sentence.to_numpy(zero_copy_only=False), number
+
+
+def _taken(common: np.ndarray, rare: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Rows of ``common``, followed by ``rare``, by their number."""
+    if not len(rare):
+        return common[tokens]
+    far = tokens >= len(common)
+    out = np.empty((len(tokens), *common.shape[1:]), dtype=common.dtype)
+    out[~far] = common[tokens[~far]]
+    out[far] = rare[tokens[far] - len(common)]
+    return out
+
+
+def _parts(batch: pa.RecordBatch, size: int, rows: np.ndarray, sentence: np.ndarray, number: np.ndarray) -> Iterator[_Part]:
+    """The parts of a batch; its tokens of rare terms, as ``_rare`` gives them, join their sentences, numbered from ``size``."""
     lists = batch.column(batch.schema.get_field_index("terms"))
     inner = lists.flatten()
     tokens = inner.flatten().to_numpy(zero_copy_only=False)
     many = np.diff(lists.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
     each = np.diff(inner.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
     s_end = np.append(0, np.cumsum(many))
+    if len(number):
+        own = s_end[rows] + sentence
+        order = np.argsort(np.concatenate([np.repeat(np.arange(len(each)), each), own]), kind="stable")
+        tokens = np.concatenate([tokens.astype(np.int64), size + number])[order]
+        each = each + np.bincount(own, minlength=len(each))
     t_end = np.append(0, np.cumsum(each))
     ends = t_end[s_end]
     first = 0
@@ -130,10 +179,13 @@ def _expected_counts(model, prior: np.ndarray, size: int, settings: TopicSetting
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, tied = model.value
         topics = len(prior)
+        names = ["term", "word", *[f"t{k}" for k in range(topics)]]
         sums = np.zeros((topics, size))
         for batch in batches:
             labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-            for part in _parts(batch):
+            rare, *places = _rare(batch, topics)
+            rare_sums = np.zeros((topics, len(rare.words)))
+            for part in _parts(batch, size, *places):
                 full = part.per_sentence > 0
                 if not full.any():
                     continue
@@ -143,16 +195,20 @@ def _expected_counts(model, prior: np.ndarray, size: int, settings: TopicSetting
                 label = labels[part.rows][document]
                 allowed = np.zeros((len(many), topics), dtype=bool)
                 allowed[:, -1] = True
-                allowed[(label < 0) & np.logical_or.reduceat(tied[part.tokens], start)] = True
+                allowed[(label < 0) & np.logical_or.reduceat(_taken(tied, rare.tied, part.tokens), start)] = True
                 allowed[label >= 0, label[label >= 0]] = True
-                _, share = infer(part.tokens, start, document, weights, prior, allowed, settings.inner, settings.stray)
+                _, share = infer(_taken(weights, rare.weights, part.tokens), start, document, prior, allowed, settings.inner, settings.stray)
                 share *= np.repeat(np.where(label >= 0, settings.example_weight, 1.0), many)[:, None]
                 for k in range(topics):
-                    sums[k] += np.bincount(part.tokens, weights=share[:, k], minlength=size)
+                    both = np.bincount(part.tokens, weights=share[:, k], minlength=size + len(rare.words))
+                    sums[k] += both[:size]
+                    rare_sums[k] += both[size:]
+            if len(rare.words):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rare.words), pa.int32()), rare.words, *[pa.array(x) for x in rare_sums]], names=names)
         used = np.flatnonzero(sums.any(axis=0))
         if len(used):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), *[pa.array(sums[k, used]) for k in range(topics)]], names=["term", *[f"t{k}" for k in range(topics)]]
+                [pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.string()), *[pa.array(sums[k, used]) for k in range(topics)]], names=names
             )
 
     return run
@@ -167,7 +223,8 @@ def _subjects_shown(model, prior: np.ndarray, named: list[str | None], least_sha
         weights, _ = model.value
         for batch in batches:
             items = batch.column(batch.schema.get_field_index("item"))
-            for part in _parts(batch):
+            rare, *places = _rare(batch, len(prior))
+            for part in _parts(batch, len(weights), *places):
                 full = part.per_sentence > 0
                 if not full.any():
                     continue
@@ -175,7 +232,7 @@ def _subjects_shown(model, prior: np.ndarray, named: list[str | None], least_sha
                 start = np.append(0, np.cumsum(many)[:-1])
                 row = np.repeat(np.arange(len(part.per_row)), part.per_row)[full]
                 allowed = np.ones((len(many), len(prior)), dtype=bool)
-                topic, _ = infer(part.tokens, start, row, weights, prior, allowed, settings.last_inner, settings.stray)
+                topic, _ = infer(_taken(weights, rare.weights, part.tokens), start, row, prior, allowed, settings.last_inner, settings.stray)
                 best = topic.argmax(axis=1)
                 about = to[best] >= 0
                 count = np.zeros((len(part.per_row), len(names)))
@@ -213,6 +270,52 @@ def name_topics(weights: np.ndarray, examples: np.ndarray, subjects: list[str],
     return named
 
 
+class RareTerms:
+    """The terms beyond the broadcast ones, as Spark tables: their model, and their tokens by unit and sentence."""
+
+    def __init__(self, rows: DataFrame, vocabulary: DataFrame, subjects: int, settings: TopicSettings):
+        """``rows`` has a ``unit`` and its words ``s``; ``vocabulary`` a ``word`` and the examples of each subject that have it, ``seen``."""
+        self.settings, self.topics = settings, subjects + 1
+        seen = F.coalesce("seen", F.array_repeat(F.lit(0.0), subjects))
+        most, total = F.array_max("seen"), F.aggregate("seen", F.lit(0.0), lambda a, x: a + x)
+        terms = vocabulary.select("word", seen.alias("seen")).select("word", "seen", ((most >= settings.clear * total) & (most > 0)).alias("known"))
+        self.terms = cut(terms)
+        tokens = rows.select("unit", F.posexplode("s").alias("sentence", "words")).select("unit", "sentence", F.explode("words").alias("word"))
+        self.tokens = cut(tokens.join(self.terms.select("word"), "word"))
+        none = F.array_repeat(F.lit(0.0), subjects)
+        first = F.when(F.col("known"), F.concat("seen", F.array(F.lit(0.0)))).otherwise(F.concat(none, F.array(total)))
+        self.counts = self.terms.select("word", "seen", first.alias("c"), F.col("known").alias("tied"))
+
+    def learn(self, sums: DataFrame) -> None:
+        """Takes the expected counts of a round: ``word`` and a column for each topic."""
+        c = sums.select("word", F.array(*[f"t{k}" for k in range(self.topics)]).alias("c"))
+        all_, own = F.aggregate("c", F.lit(0.0), lambda a, x: a + x), F.array_max(F.slice("c", 1, self.topics - 1))
+        learned = (own >= self.settings.clear * all_) & (all_ >= self.settings.learned_count)
+        self.counts = self.terms.join(c, "word").select("word", "seen", "c", (F.col("known") | learned).alias("tied"))
+
+    def _lam(self) -> list[Column]:
+        of = lambda k: F.get("c", F.lit(k)) + self.settings.term_prior
+        return [*map(of, range(self.topics - 1)), F.when(F.col("tied"), F.lit(self.settings.term_prior)).otherwise(of(self.topics - 1))]
+
+    def total(self) -> np.ndarray:
+        """Sum of the Dirichlet weights of the terms, by topic."""
+        return np.array([x or 0.0 for x in self.counts.agg(*[F.sum(x) for x in self._lam()]).first()])
+
+    def joined(self, units: DataFrame, total: np.ndarray) -> DataFrame:
+        """``units`` with ``rare``: sentence, word, weights and tie of each token of these terms."""
+        weights = [(exp_digamma_column(x) / float(t) + 1e-30).cast("float") for x, t in zip(self._lam(), exp_digamma(total))]
+        model = self.counts.select("word", F.array(*weights).alias("w"), "tied")
+        rare = self.tokens.join(model, "word").groupBy("unit").agg(F.collect_list(F.struct("sentence", "word", "w", "tied")).alias("rare"))
+        return units.join(rare, "unit", "left")
+
+    def top(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, and uses in the examples, of the terms that have most of a topic."""
+        each = self.counts.select("word", "seen", "c", F.posexplode("c").alias("topic", "n"))
+        first = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "word"))
+        found = {r["word"]: r for r in each.withColumn("place", first).filter(F.col("place") <= most).select("word", "c", "seen").collect()}
+        return np.array([r["c"] for r in found.values()]).reshape(-1, self.topics), np.array([r["seen"] for r in found.values()]).reshape(-1, self.topics - 1)
+
+
 def assign_subjects(
     documents: DataFrame, item: str, text: str, examples: DataFrame, example_text: str, example_subject: str, least_share: float = 0.25,
     settings: TopicSettings = TopicSettings(),
@@ -222,28 +325,30 @@ def assign_subjects(
     A sentence is about one subject or none. Documents with a null or empty text, or
     without a sentence, have no subject; equal texts have equal subjects; each row
     is a document, and rows of the same id, null included, have the subjects of all. An empty table gives
-    an empty result. Other columns are left out.
+    an empty result. Other columns are left out. Terms of a single text, which tie it to no other, aren't in the model.
     """
     spark = documents.sparkSession
     worded = lambda c: F.transform(sentences(F.col(c)), terms)
-    # Written once, as the words are read for the vocabulary and again for the units.
-    rows = cut(documents.select(F.col(item).cast("bigint").alias("item"), worded(text).alias("s")).filter(F.size("s") > 0))
     shown = examples.filter(F.col(example_subject).isNotNull()).select(F.col(example_subject).alias("subject"), worded(example_text).alias("s")).filter(F.size("s") > 0)
-    # What the examples say of their terms: at most their vocabulary times the subjects.
-    used = shown.select("subject", F.explode(F.array_distinct(F.flatten("s"))).alias("word")).groupBy("word", "subject").count().collect()
-    subjects = sorted({r["subject"] for r in used})
-    spread: dict[str, int] = {}
-    for r in used:
-        spread[r["word"]] = spread.get(r["word"], 0) + 1
-    stop = {w for w, n in spread.items() if n > max(1, settings.stop_subjects * len(subjects))}
-    # The vocabulary, commonest first; ties by the term.
-    words = rows.select("s").unionByName(shown.select("s")).select(F.explode(F.array_distinct(F.flatten("s"))).alias("word"))
-    common = words.groupBy("word").count().filter(F.col("count") > 1).orderBy(F.desc("count"), "word").limit(settings.vocabulary + len(stop))
-    vocabulary = [r["word"] for r in common.select("word").collect() if r["word"] not in stop][: settings.vocabulary]
-    if not subjects or not vocabulary:
+    subjects = sorted(r["subject"] for r in shown.select("subject").distinct().collect())
+    if not subjects:
         return spark.createDataFrame([], "doc_id bigint, subject string")
-    number = {w: i for i, w in enumerate(vocabulary)}
-    index = spark.sparkContext.broadcast(pa.array(vocabulary))
+    label = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1
+    # Written once, as the words are read for the vocabulary and again for the units.
+    rows = documents.select(F.col(item).cast("bigint").alias("item"), F.lit(-1).alias("label"), worded(text).alias("s")).filter(F.size("s") > 0)
+    labelled = shown.select(F.lit(None).cast("bigint").alias("item"), label.alias("label"), "s").repartition(1)
+    rows = cut(rows.unionByName(labelled).withColumn("unit", F.monotonically_increasing_id()))
+    # The vocabulary, commonest first, ties by the term; with it, how many examples of each subject have a term.
+    words = rows.select("label", F.explode(F.array_distinct(F.flatten("s"))).alias("word"))
+    seen = words.filter("label >= 0").groupBy("word").agg(F.array(*[F.count(F.when(F.col("label") == k, 1)).cast("double") for k in range(len(subjects))]).alias("seen"))
+    users = F.size(F.filter("seen", lambda n: n > 0))
+    seen = seen.withColumn("stop", users > max(1, settings.stop_subjects * len(subjects)))
+    vocabulary = words.groupBy("word").count().filter(F.col("count") > 1).join(seen, "word", "left").filter(~F.coalesce("stop", F.lit(False))).drop("stop")
+    vocabulary = cut(vocabulary)
+    common = vocabulary.orderBy(F.desc("count"), "word").limit(settings.vocabulary).collect()
+    if not common:
+        return spark.createDataFrame([], "doc_id bigint, subject string")
+    index = spark.sparkContext.broadcast(pa.array([r["word"] for r in common]))
 
     @F.arrow_udf("array<array<int>>")
     def numbers(lists: pa.Array) -> pa.Array:
@@ -255,15 +360,17 @@ def assign_subjects(
         found = pa.ListArray.from_arrays(pa.array(kept[ends].astype(np.int32)), at.drop_null())
         return pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), found)
 
-    label = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1
-    units = rows.select("item", F.lit(-1).alias("label"), numbers("s").alias("terms"))
-    labelled = shown.select(F.lit(None).cast("bigint").alias("item"), label.alias("label"), numbers("s").alias("terms"))
-    units = cut(units.unionByName(labelled.repartition(1)))
-    seen = np.zeros((len(vocabulary), len(subjects)))
-    for r in used:
-        if r["word"] in number:
-            seen[number[r["word"]], subjects.index(r["subject"])] = r["count"]
+    units = cut(rows.select("unit", "item", "label", numbers("s").alias("terms")))
+    seen = np.zeros((len(common), len(subjects)))
+    for i, r in enumerate(common):
+        if r["seen"]:
+            seen[i] = r["seen"]
     prior = np.append(np.full(len(subjects), settings.subject_prior), settings.shared_prior)
+    rest = None
+    if len(common) == settings.vocabulary:
+        last = common[-1]
+        beyond = (F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.col("word") > last["word"]))
+        rest = RareTerms(rows, vocabulary.filter(beyond), len(subjects), settings)
     counts = first_counts(seen, settings.clear)
     known = tied_terms(seen, settings.clear)
     topics = ", ".join(f"t{k} double" for k in range(len(prior)))
@@ -271,18 +378,29 @@ def assign_subjects(
     def shared_model(c: np.ndarray, tied: np.ndarray):
         lam = c + settings.term_prior
         lam[tied, -1] = settings.term_prior  # what is tied to a subject is not for all
-        return spark.sparkContext.broadcast(((exp_digamma(lam) / exp_digamma(lam.sum(axis=0)) + 1e-30).astype(np.float32), tied))
+        total = lam.sum(axis=0)
+        if rest:
+            total = total + rest.total()
+        weights = (exp_digamma(lam) / exp_digamma(total) + 1e-30).astype(np.float32)
+        return spark.sparkContext.broadcast((weights, tied)), rest.joined(units, total) if rest else units
 
-    model = shared_model(counts, known)
+    model, given = shared_model(counts, known)
     for _ in range(settings.rounds):
-        job = units.mapInArrow(_expected_counts(model, prior, len(vocabulary), settings), f"term int, {topics}")
-        counts = np.zeros((len(vocabulary), len(prior)))
-        for r in job.groupBy("term").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(len(prior))]).collect():
+        job = given.mapInArrow(_expected_counts(model, prior, len(common), settings), f"term int, word string, {topics}")
+        job = job.groupBy("term", "word").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(len(prior))])
+        if rest:
+            job = cut(job)
+            rest.learn(job.filter("term is null"))
+        counts = np.zeros((len(common), len(prior)))
+        for r in job.filter("term is not null").drop("word").collect():
             counts[r["term"]] = r[1:]
         # Terms that the examples lack are tied to the subject that the corpus shows them with.
         learned = (counts[:, :-1].max(axis=1) >= settings.clear * counts.sum(axis=1)) & (counts.sum(axis=1) >= settings.learned_count)
-        model = shared_model(counts, known | learned)
+        model, given = shared_model(counts, known | learned)
+    if rest:
+        more = rest.top(settings.top_terms)
+        counts, seen = np.concatenate([counts, more[0]]), np.concatenate([seen, more[1]])
     named = name_topics(counts / np.maximum(counts.sum(axis=0), 1e-300), seen, subjects, settings.top_terms)
     named[-1] = None  # the shared topic
-    found = units.filter(F.col("label") < 0).mapInArrow(_subjects_shown(model, prior, named, least_share, settings), "doc_id bigint, subject string")
+    found = given.filter(F.col("label") < 0).mapInArrow(_subjects_shown(model, prior, named, least_share, settings), "doc_id bigint, subject string")
     return found.distinct()

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.llm.subjects import assign_subjects, exp_digamma, sentences
+from strandframe.llm.subjects import TopicSettings, assign_subjects, exp_digamma, sentences
 
 WORDS = {s: [f"{s}{a}{b}" for a in "bcdf" for b in "aeiou"] for s in ("red", "green", "blue", "grey")}
 COMMON = ["the", "with", "was", "near"]
@@ -41,6 +41,15 @@ def test_subjects_of_made_texts(spark, made):
     assert assign_subjects(twice, "doc_id", "text", ex, "text", "subject").groupBy("doc_id", "subject").count().filter("count > 1").count() == 0
 
 
+def test_terms_beyond_the_broadcast_size(spark, made):
+    documents, examples, truth = made
+    df = spark.createDataFrame(documents, "doc_id bigint, text string")
+    ex = spark.createDataFrame(examples, "text string, subject string")
+    whole = {tuple(r) for r in assign_subjects(df, "doc_id", "text", ex, "text", "subject").collect()}
+    for size in (7, 40):
+        assert {tuple(r) for r in assign_subjects(df, "doc_id", "text", ex, "text", "subject", settings=TopicSettings(vocabulary=size)).collect()} == whole
+
+
 def test_empty_tables(spark, made):
     df = spark.createDataFrame([(1, "The redba was near.")], "doc_id bigint, text string")
     ex = spark.createDataFrame(made[1], "text string, subject string")
