@@ -122,7 +122,7 @@ def eval_r1(spark, d):
 
 
 def eval_speedup(spark, d):
-    """Loading time of the kinds of each source against that of English, as if languages were tools."""
+    """Letters of each language of a source against those of English, as if languages were tools and letters their time."""
     times = table(spark, d, "documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("chars"))
     return E.with_speed_up(times, "lang", "chars", "en", ["source"])
 
@@ -134,7 +134,7 @@ def sample_scaling(spark, d):
 
 
 def not_done(spark, d):
-    """(index, key) pairs of seeds whose index has no entry in seed_counts."""
+    """Number of seeds of each index without a row of negative key in seed_counts; such rows stand for finished work."""
     work = table(spark, d, "seeds").filter("index_id is not null").groupBy("index_id").agg(F.count("*").alias("seeds"))
     return E.not_done(work, table(spark, d, "seed_counts").filter("key44 < 0"), ["index_id"])
 
