@@ -336,7 +336,7 @@ def assign_subjects(
     label = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1
     # Written once, as the words are read for the vocabulary and again for the units.
     rows = documents.select(F.col(item).cast("bigint").alias("item"), F.lit(-1).alias("label"), worded(text).alias("s")).filter(F.size("s") > 0)
-    labelled = shown.select(F.lit(None).cast("bigint").alias("item"), label.alias("label"), "s").repartition(1)
+    labelled = shown.select(F.lit(None).cast("bigint").alias("item"), label.alias("label"), "s")
     rows = cut(rows.unionByName(labelled).withColumn("unit", F.monotonically_increasing_id()))
     # The vocabulary, commonest first, ties by the term; with it, how many examples of each subject have a term.
     words = rows.select("label", F.explode(F.array_distinct(F.flatten("s"))).alias("word"))

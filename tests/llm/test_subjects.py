@@ -50,6 +50,17 @@ def test_terms_beyond_the_broadcast_size(spark, made):
         assert {tuple(r) for r in assign_subjects(df, "doc_id", "text", ex, "text", "subject", settings=TopicSettings(vocabulary=size)).collect()} == whole
 
 
+def test_examples_keep_their_partitions(spark, made, monkeypatch):
+    from strandframe.llm import subjects
+
+    tasks = []
+    monkeypatch.setattr(subjects, "cut", lambda df, cut=subjects.cut: tasks.append(df.rdd.getNumPartitions()) or cut(df))
+    df = spark.createDataFrame(made[0], "doc_id bigint, text string").repartition(2)
+    ex = spark.createDataFrame(made[1], "text string, subject string").repartition(3)
+    assert assign_subjects(df, "doc_id", "text", ex, "text", "subject").count()
+    assert tasks[0] == 5
+
+
 def test_empty_tables(spark, made):
     df = spark.createDataFrame([(1, "The redba was near.")], "doc_id bigint, text string")
     ex = spark.createDataFrame(made[1], "text string, subject string")
