@@ -145,12 +145,13 @@ def p7_packed(spark, d):
     """Container and place of every text with a token (of every piece, where the text exceeds a container)."""
     sizes = table(spark, d, "documents").select("doc_id", token_count(spark, "text").alias("tokens"))
     placed = pack_items(sizes, "doc_id", "tokens", CAPACITY)
-    return placed.select(F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("container").alias("container_id"), "start")
+    return placed.select(F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), F.col("container").alias("container_id"), "start", "by_pattern")
 
 
 def p7_containers(spark, d):
-    """Texts and tokens of every container, and the space left in it."""
-    used = p7_packed(spark, d).groupBy("container_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    """Texts and tokens of every container, those of them that a pattern placed, and the space left."""
+    by_pattern = F.coalesce(F.sum(F.when(F.col("by_pattern"), F.col("tokens"))), F.lit(0))
+    used = p7_packed(spark, d).groupBy("container_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), by_pattern.alias("pattern_tokens"))
     return used.withColumn("space_left", CAPACITY - F.col("tokens"))
 
 
