@@ -1,21 +1,24 @@
-"""Long exact spans shared between records, found with suffix automata of shards.
-
-A stretch of ``min_len`` letters that stands in two records has the same smallest
-``ANCHOR``-letter word (an anchor) in both. The anchors of all records are grouped,
-and only those of at least two records go on, with the letters around them (their
-segments). Segments are sharded by anchor: every shard holds whole anchor groups, so
-any shared stretch meets its copies in one shard. For each shard a generalised
-suffix automaton is built whose states know the least and the greatest record that
-holds their words; each segment is then streamed through it, and its matching
-statistics against the *other* records give the maximal spans. Shards have a bounded
-size, so the work grows with the data and not with shards times records.
-
-A shard is sent to where its segments are instead of being broadcast to all
-documents: a broadcast of all shards would grow with the data.
-
-Identical segments are one row before they reach a shard. An anchor with more than
-``MOST_SEGMENTS`` different segments is not gathered in one task: the stretches of its
-segments are compared exactly, grouped by their content.
+"""Long exact spans shared between records, found with suffix automata of reference shards.
+
+1. A stretch of ``min_len`` letters that stands in two records has the same smallest
+   word of ``ANCHOR`` letters (an anchor) in both. Anchors only prune: their words are
+   counted, and those of two records or more are kept, with a home (the least record that
+   has the word, and the least part of a text that it stands in). A bitmap of bounded size
+   over the kept words is broadcast.
+2. The records are read again, and the letters around anchors of the bitmap, as far as a
+   stretch with the anchor reaches, are cut out. What overlaps is one region; longer ones
+   become tiles that overlap by ``min_len`` less one. A region goes to the homes of its
+   words, so any shared stretch meets its copies there, and neighbouring words, which
+   mostly have the same home, travel once.
+3. The different texts of a home are the reference, in shards of bounded size. For each
+   shard a generalised suffix automaton is built whose states know the least and the
+   greatest record that holds their words; all regions of its homes are streamed through,
+   and their matching statistics against *other* records give the maximal spans. A home
+   with many different texts has several shards, and its regions go through each of them,
+   in as many tasks as they need.
+
+A shard is sent to the regions that can match it instead of being broadcast to all documents:
+a broadcast of all shards would grow with the data, and so would the passes over them.
 """
 
 from __future__ import annotations
@@ -29,33 +32,35 @@ from pyspark.sql import functions as F
 
 from strandframe.runtime import cut
 
-ANCHOR = 32
-#: Different segments of one anchor beyond which its stretches are grouped by content.
-MOST_SEGMENTS = 4096
-#: Segments of one automaton, at least, if the partition has so many.
-SHARD_SEGMENTS = 8192
+#: Letters of an anchor, at most.
+ANCHOR = 24
+#: Letters of a tile, at least.
+TILE = 1024
+#: Letters of the reference of a shard, about.
+SHARD = 1 << 18
+#: Letters of a text that share a home.
+PART = 4096
+#: Bits of the bitmap, at most.
+MOST_BITS = 1 << 27
 #: Letters that are looked at in one go.
 CHUNK = 1 << 20
+#: Regions that are streamed side by side.
+LANES = 8192
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _CODE[_b + 32] = _i
+_LETTER = np.frombuffer(b"ACGTN", dtype=np.uint8)
 
-#: The four letters that a byte holds.
-_FOUR = [bytes((v >> 6, v >> 4 & 3, v >> 2 & 3, v & 3)) for v in range(256)]
 
-_SEGMENT = "code bigint, before bigint, after bigint, extent int"
-_KEY = ["code", "before", "after", "extent"]
-
-
-def _words(codes: np.ndarray) -> np.ndarray:
-    """The 32 letters from each place on as one number; letters beyond the end count as 0."""
+def _words(codes: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` letters (32 at most) from each place on as one number; letters beyond the end count as 0."""
     out = codes.astype(np.uint64)
     out[out > 3] = 0
     for n in (1, 2, 4, 8, 16):
         out <<= np.uint64(2 * n)
         out[:-n] |= out[n:] >> np.uint64(2 * n)
-    return out
+    return out >> np.uint64(64 - 2 * size)
 
 
 def _mixed(words: np.ndarray) -> np.ndarray:
@@ -67,108 +72,127 @@ def _mixed(words: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors_of(codes: np.ndarray, min_len: int) -> np.ndarray:
-    """Places of the smallest anchor word of each stretch of ``min_len`` plain letters (the leftmost among equal ones)."""
-    reach = min_len - ANCHOR + 1
+def anchors_of(codes: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scrambled words of the smallest anchor of each stretch of ``min_len`` plain letters (the leftmost among equal ones)."""
+    size = min(ANCHOR, min_len)
+    reach = min_len - size + 1
     n = len(codes) - min_len + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     bad = np.concatenate(([0], np.cumsum(codes > 3)))
     plain = np.flatnonzero(bad[min_len:] == bad[:-min_len])
-    if not len(plain):
-        return plain
-    rank = _mixed(_words(codes))
-    best = np.arange(len(codes) - ANCHOR + 1)
+    rank = _mixed(_words(codes, size))
+    best = np.arange(len(codes) - size + 1)
     span = 1
     while span < reach:  # doubles the reach of the minimum; the last step overlaps
         step = min(span, reach - span)
         a, b = best[:-step], best[step:]
         best = np.where(rank[a] <= rank[b], a, b)
         span += step
-    return np.unique(best[plain])
+    picked = best[plain]
+    at = picked[np.append(True, picked[1:] != picked[:-1])] if len(picked) else picked
+    return at, rank[at].view(np.int64)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Record ids, letter codes and ends of some texts of a batch, one after the other with a stop between them."""
+    ids, texts, first = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), 0
+    while first < len(ids):
+        parts, bounds, last = [b"\n"], [1], first
+        while last < len(ids) and (last == first or bounds[-1] < CHUNK):
+            parts.append(texts[last].as_py().encode("ascii", "replace") + b"\n")
+            bounds.append(bounds[-1] + len(parts[-1]))
+            last += 1
+        yield ids[first:last], _CODE[np.frombuffer(b"".join(parts), dtype=np.uint8)], np.array(bounds)
+        first = last
+
+
+def _anchored(batch: pa.RecordBatch, min_len: int):
+    """Ids, codes, bounds, anchor places and words of some texts; a single long text is looked at in overlapping parts."""
+    for ids, codes, bounds in _texts(batch):
+        for begin in range(0, len(codes), CHUNK):
+            lo, hi = max(0, begin - min_len), min(len(codes), begin + CHUNK + min_len)
+            at, word = anchors_of(codes[lo:hi], min_len)
+            at = at + lo
+            inside = (at >= begin) & (at < begin + CHUNK)
+            if inside.any():
+                yield ids, codes, bounds, at[inside], word[inside]
 
 
-def _anchor_rows(min_len: int):
-    flank = min_len - ANCHOR
+def _words_of(min_len: int):
+    """Task function: word, record and part of the text of each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1)
-            first = 0
-            while first < len(ids):
-                parts, bounds, last = [b"\n" * ANCHOR], [ANCHOR], first
-                while last < len(ids) and (last == first or bounds[-1] < CHUNK):
-                    parts.append(texts[last].as_py().encode("ascii", "replace") + b"\n")
-                    bounds.append(bounds[-1] + len(parts[-1]))
-                    last += 1
-                parts.append(b"\n" * (2 * ANCHOR))
-                codes = _CODE[np.frombuffer(b"".join(parts), dtype=np.uint8)]
-                yield from _rows(ids[first:last], codes, np.array(bounds), flank)
-                first = last
-
-    def _rows(ids, codes, bounds, flank):
-        stops = np.flatnonzero(codes > 3)
-        for begin in range(0, len(codes), CHUNK):  # a single long text is looked at in overlapping parts
-            lo, hi = max(0, begin - min_len), min(len(codes), begin + CHUNK + min_len)
-            at = anchors_of(codes[lo:hi], min_len) + lo
-            at = at[(at >= begin) & (at < begin + CHUNK)]
-            if not len(at):
-                continue
-            near = codes[max(0, at[0] - ANCHOR) : at[-1] + 3 * ANCHOR]
-            words, off = _words(near), max(0, at[0] - ANCHOR)
-            j = np.searchsorted(stops, at)
-            left = np.minimum(flank, at - stops[j - 1] - 1)
-            right = np.minimum(flank, stops[j] - at - ANCHOR)
-            wide = lambda x: np.uint64(2) * x.astype(np.uint64)
-            before = words[at - ANCHOR - off] & ((np.uint64(1) << np.minimum(wide(left), np.uint64(63))) - np.uint64(1))
-            before = np.where(left == ANCHOR, words[at - ANCHOR - off], before)
-            after = np.where(right > 0, words[at + ANCHOR - off] >> (np.uint64(64) - np.maximum(wide(right), np.uint64(1))), np.uint64(0))
-            row = np.searchsorted(bounds, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[row]),
-                    pa.array(at - bounds[row]),
-                    *[pa.array(x.view(np.int64)) for x in (words[at - off], before, after)],
-                    pa.array((left * 64 + right).astype(np.int32)),
-                ],
-                names=["ref_id", "at", *_KEY],
-            )
+            for ids, _, bounds, at, word in _anchored(batch, min_len):
+                row = np.searchsorted(bounds, at, side="right") - 1
+                part = ((at - bounds[row]) // PART).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(ids[row]), pa.array(part)], names=["word", "ref_id", "part"])
 
     return run
 
 
-def _letters(code: int, before: int, after: int, extent: int) -> bytes:
-    """The letters of a segment as numbers 0 to 3."""
-    left, right = divmod(extent, 64)
-    value = ((before % 2**64) << (2 * ANCHOR) | code % 2**64) << (2 * right) | after % 2**64
-    n = left + ANCHOR + right
-    packed = (value << (-2 * n % 8)).to_bytes(-(-n // 4), "big")
-    return b"".join(map(_FOUR.__getitem__, packed))[:n]
+def _regions(min_len: int, bitmap):
+    """Task function: the regions around anchors whose words the bitmap has, with these words."""
+    size = min(ANCHOR, min_len)
+    flank, tile = min_len - size, max(TILE, 4 * min_len)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        mask = np.int64(len(bits) * 64 - 1)
+        for batch in batches:
+            for ids, codes, bounds, at, word in _anchored(batch, min_len):
+                low = word & mask
+                known = (bits[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) == 1
+                at, word = at[known], word[known]
+                if not len(at):
+                    continue
+                stops = np.flatnonzero(codes > 3)
+                j = np.searchsorted(stops, at)
+                begin, end = np.maximum(at - flank, stops[j - 1] + 1), np.minimum(at + size + flank, stops[j])
+                first = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+                begin, end = begin[first], end[np.append(first[1:], len(end)) - 1]
+                step = tile - min_len + 1
+                many = np.maximum(1, -(-(end - begin - min_len + 1) // step))
+                begin = np.repeat(begin, many) + step * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                end = np.minimum(begin + tile, np.repeat(end, many))
+                i0, i1 = np.searchsorted(at, begin), np.searchsorted(at, end - size, side="right")
+                full = (i1 > i0) & (end - begin >= min_len)
+                begin, end, i0, i1 = begin[full], end[full], i0[full], i1[full]
+                if not len(begin):
+                    continue
+                row = np.searchsorted(bounds, begin, side="right") - 1
+                words = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(i1 - i0)).astype(np.int32)), pa.array(np.concatenate([word[a:b] for a, b in zip(i0, i1)]))
+                )
+                texts = pa.array([_LETTER[codes[a:b]].tobytes() for a, b in zip(begin, end)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(begin - bounds[row]), texts, words], names=["ref_id", "start", "text", "words"])
+
+    return run
 
 
 class Automaton:
-    """Suffix automaton of many words over four letters; states know the least and greatest owner of their words."""
+    """Suffix automaton of many words over four letters; states know the least and greatest owner of their words.
+
+    Words are added one by one; ``close`` turns the automaton into arrays that regions are streamed through.
+    """
 
     def __init__(self):
         self.next = [[-1] * 4]
         self.link = [-1]
         self.length = [0]
-        self.least = [2**63]
+        self.least = [2**63 - 1]
         self.most = [-(2**63)]
 
-    def _state(self, moves, length, link):
-        self.next.append(moves)
-        self.length.append(length)
-        self.link.append(link)
-        self.least.append(2**63)
-        self.most.append(-(2**63))
-        return len(self.link) - 1
-
     def _split(self, p, c, q):
         """A state for the words of q that are no longer than those of p followed by c."""
         nxt, link = self.next, self.link
-        r = self._state(list(nxt[q]), self.length[p] + 1, link[q])
+        nxt.append(list(nxt[q]))
+        self.length.append(self.length[p] + 1)
+        self.least.append(2**63 - 1)
+        self.most.append(-(2**63))
+        r = len(link)
+        link.append(link[q])
         link[q] = r
         while p >= 0 and nxt[p][c] == q:
             nxt[p][c] = r
@@ -176,6 +200,7 @@ class Automaton:
         return r
 
     def add(self, word: bytes, least: int, most: int) -> None:
+        """Adds a word of letters 0 to 3."""
         nxt, link, length, low, high = self.next, self.link, self.length, self.least, self.most
         last = 0
         for c in word:
@@ -203,143 +228,173 @@ class Automaton:
                 last = new
 
     def close(self) -> None:
-        """Hand owners on to the suffixes."""
-        least, most, link = self.least, self.most, self.link
-        for v in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
-            u = link[v]
-            if least[v] < least[u]:
-                least[u] = least[v]
-            if most[v] > most[u]:
-                most[u] = most[v]
-
-    def spans(self, word: bytes, owner: int, min_len: int) -> list[tuple[int, int]]:
-        """Maximal unions of the stretches of at least ``min_len`` letters of a word that others than ``owner`` hold too."""
-        out: list[list[int]] = []
-        nxt, link, length, low, high = self.next, self.link, self.length, self.least, self.most
-        v = 0
-        for end, c in enumerate(word, 1):
-            v = nxt[v][c]
-            if end < min_len:
+        """Hands owners on to the suffixes, and finds for each state of one owner its longest suffix of several."""
+        n = len(self.link)  # one more state, before the root: every letter leads from it to the root
+        self.next = np.concatenate([np.array(self.next, dtype=np.int32).ravel(), np.zeros(4, dtype=np.int32)])
+        self.link = np.array([*self.link, n], dtype=np.int32)
+        self.link[0] = n
+        self.length = np.array([*self.length, -1], dtype=np.int32)
+        self.least = np.array([*self.least, 2**63 - 1], dtype=np.int64)
+        self.most = np.array([*self.most, -(2**63)], dtype=np.int64)
+        order = np.argsort(-self.length[:n], kind="stable")
+        levels = np.flatnonzero(np.append(True, np.diff(self.length[order]) != 0))
+        for a, b in zip(levels, np.append(levels[1:], n)):
+            at = order[a:b]
+            if at[0]:
+                np.minimum.at(self.least, self.link[at], self.least[at])
+                np.maximum.at(self.most, self.link[at], self.most[at])
+        self.far = np.where(self.least == self.most, self.link, np.arange(n + 1, dtype=np.int32))
+        while True:
+            farther = self.far[self.far]
+            if (farther == self.far).all():
+                break
+            self.far = farther
+
+    def spans(self, texts: np.ndarray, offset: np.ndarray, length: np.ndarray, owner: np.ndarray, min_len: int):
+        """Lane, begin and end of the maximal unions of the stretches of at least ``min_len`` letters that others than the lane's owner hold too.
+
+        ``texts`` holds letters 0 to 3; the lanes, longest first, begin at ``offset``. All lanes go on by one letter at a time.
+        """
+        state, seen = np.zeros(len(offset), dtype=np.int32), np.zeros(len(offset), dtype=np.int32)
+        begin, end = np.zeros(len(offset), dtype=np.int64), np.full(len(offset), -1, dtype=np.int64)
+        out = []
+        for t in range(int(length[0]) if len(length) else 0):
+            k = int(np.searchsorted(-length, -t, side="left"))  # lanes of more than t letters
+            v, c = state[:k], texts[offset[:k] + t]
+            to = self.next[v * 4 + c]
+            lost = np.flatnonzero(to < 0)
+            while len(lost):
+                v[lost] = self.link[v[lost]]
+                seen[lost] = self.length[v[lost]]
+                to[lost] = self.next[v[lost] * 4 + c[lost]]
+                lost = lost[to[lost] < 0]
+            state[:k] = to
+            seen[:k] += 1
+            if t + 1 < min_len:
                 continue
-            u = v
-            while low[u] == owner == high[u]:
-                u = link[u]
-            n = min(length[u], end)
-            if n >= min_len:
-                if out and out[-1][1] >= end - n:
-                    out[-1][1] = end
-                    out[-1][0] = min(out[-1][0], end - n)
-                else:
-                    out.append([end - n, end])
-        return [(a, b) for a, b in out]
-
-
-def _shard_spans(min_len: int, shard: int):
-    """Task function: spans of the segments of a partition that is sorted by anchor."""
-
-    def spans_of(rows):
-        auto = Automaton()
-        words = [_letters(*row[:4]) for row in rows]
-        for row, word in zip(rows, words):
-            auto.add(word, row[4], row[5])
-        auto.close()
-        for row, word in zip(rows, words):
-            if row[4] < row[5]:
-                yield (*row[:4], 0, len(word))
-            else:
-                for a, b in auto.spans(word, row[4], min_len):
-                    yield (*row[:4], a, b)
-
-    def batch_of(found):
-        cols = list(zip(*found))
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[*_KEY, "a", "b"])
-
-    def flush(rows):
-        # An anchor all of whose segments have several owners needs no automaton.
-        single = {row[0] for row in rows if row[4] == row[5]}
-        plain = [row for row in rows if row[0] not in single]
-        found = [(*row[:4], 0, row[3] // 64 + ANCHOR + row[3] % 64) for row in plain]
-        found += spans_of([row for row in rows if row[0] in single])
-        if found:
-            yield batch_of(found)
+            own = (self.least[to] == owner[:k]) & (self.most[to] == owner[:k])
+            n = np.where(own, self.length[self.far[to]], seen[:k])
+            hit = np.flatnonzero(n >= min_len)
+            if len(hit):
+                start = t + 1 - n[hit]
+                new = start > end[hit]
+                done = hit[new & (end[hit] >= 0)]
+                out.append((done, begin[done], end[done]))
+                begin[hit] = np.where(new, start, np.minimum(begin[hit], start))
+                end[hit] = t + 1
+        done = np.flatnonzero(end >= 0)
+        out.append((done, begin[done], end[done]))
+        return [np.concatenate(x) for x in zip(*out)]
+
+
+class _Shard:
+    """References and waiting regions of one or more homes."""
+
+    def __init__(self, min_len: int):
+        self.min_len, self.automaton, self.closed = min_len, Automaton(), False
+        self.letters = self.waiting = 0
+        self.regions: list[tuple[int, int, bytes]] = []
+
+    def add(self, text: bytes, least: int, most: int) -> None:
+        self.automaton.add(_CODE[np.frombuffer(text, dtype=np.uint8)].tobytes(), least, most)
+        self.letters += len(text)
+
+    def wait(self, owner: int, start: int, text: bytes) -> None:
+        self.regions.append((owner, start, text))
+        self.waiting += len(text)
+
+    def stream(self) -> Iterator[pa.RecordBatch]:
+        """Spans of the waiting regions."""
+        if not self.closed:
+            self.automaton.close()
+            self.closed = True
+        self.regions.sort(key=lambda r: -len(r[2]))
+        for first in range(0, len(self.regions), LANES):
+            owners, starts, texts = zip(*self.regions[first : first + LANES])
+            owners, starts, length = np.array(owners), np.array(starts), np.array([len(x) for x in texts])
+            codes = _CODE[np.frombuffer(b"".join(texts), dtype=np.uint8)]
+            lane, a, b = self.automaton.spans(codes, np.cumsum(length) - length, length, owners, self.min_len)
+            yield pa.RecordBatch.from_arrays([pa.array(owners[lane]), pa.array(starts[lane] + a), pa.array(starts[lane] + b)], names=["ref_id", "s", "e"])
+        self.regions, self.waiting = [], 0
+
+
+def _matched(min_len: int, shard: int):
+    """Task function: spans of a partition that is sorted by home and shard, each with its references first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        now, last = _Shard(min_len), None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if len(held) >= shard and row[0] != held[-1][0]:
-                    yield from flush(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from flush(held)
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for *home, kind, least, most, start, text in zip(*cols):
+                if home != last:
+                    if now.closed or now.letters >= shard:
+                        yield from now.stream()
+                        now = _Shard(min_len)
+                    last = home
+                if kind:
+                    now.wait(least, start, text)
+                    if now.waiting >= 16 * shard:
+                        yield from now.stream()
+                else:
+                    now.add(text, least, most)
+        yield from now.stream()
 
     return run
 
 
-def _stretches(min_len: int):
-    """Task function: every stretch of ``min_len`` letters of each segment, as two numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                word = _letters(*row[:4])
-                for a in range(len(word) - min_len + 1):
-                    out.append((*row, a, word[a : a + min_len]))
-            if out:
-                cols = list(zip(*out))
-                kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[*_KEY, "least", "most", "a", "stretch"])
-
-    return run
+def _bitmap(shared: DataFrame):
+    """Bits at the low ends of the words; its size follows from their number up to ``MOST_BITS``."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, (16 * shared.count()).bit_length()))
+    low = F.col("word").bitwiseAND(bits - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(63).cast("int"))
+    rows = shared.select(F.shiftright(low, 6).alias("i"), one.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[rows["i"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return shared.sparkSession.sparkContext.broadcast(out)
 
 
-def shared_spans(
-    df: DataFrame, record: str, text: str, min_len: int = 64, most_segments: int = MOST_SEGMENTS, shard_segments: int = SHARD_SEGMENTS
-) -> DataFrame:
+def shared_spans(df: DataFrame, record: str, text: str, min_len: int = 64, shard: int = SHARD) -> DataFrame:
     """``ref_id``, ``span_start``, ``span_end``: the longest runs of shared letters of each record.
 
-    A letter is shared if it lies in a stretch of at least ``min_len`` (33 to 64) of
+    A letter is shared if it lies in a stretch of at least ``min_len`` (1 or more) of
     A, C, G, T in either case that also stands in another record, on the same strand.
     Start is 0-based, end exclusive; runs that touch are one. Rows with the same
     record id are the same record; null ids, null and short texts have no spans. An
     empty table gives an empty result. Other columns are left out.
     """
-    if not ANCHOR < min_len <= 2 * ANCHOR:
-        raise ValueError(f"min_len must lie in {ANCHOR + 1} to {2 * ANCHOR}")
+    if min_len < 1:
+        raise ValueError("min_len must be at least 1")
     spark = df.sparkSession
     rows = df.filter(F.col(record).isNotNull() & (F.length(text) >= min_len)).select(F.col(record).cast("bigint").alias("ref_id"), F.col(text).alias("text"))
-    anchors = rows.mapInArrow(_anchor_rows(min_len), f"ref_id bigint, at bigint, {_SEGMENT}")
-    several = (
-        rows.mapInArrow(_anchor_rows(min_len), f"ref_id bigint, at bigint, {_SEGMENT}")
-        .groupBy("code")
-        .agg(F.min("ref_id").alias("x"), F.max("ref_id").alias("y"))
-        .filter("x < y")
-        .select("code")
-    )
-    places = cut(anchors.join(several, "code", "left_semi"))
-    segments = places.groupBy(*_KEY).agg(F.min("ref_id").alias("least"), F.max("ref_id").alias("most"))
-    crowded = segments.groupBy("code").count().filter(F.col("count") > most_segments).select("code")
-    # The automata of all shards; whole anchors stay together.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_automaton = (
-        segments.join(crowded, "code", "left_anti")
-        .repartition(tasks, "code")
-        .sortWithinPartitions("code")
-        .mapInArrow(_shard_spans(min_len, shard_segments), f"{_SEGMENT}, a int, b int")
+    words = rows.mapInArrow(_words_of(min_len), "word bigint, ref_id bigint, part int")
+    owners = words.groupBy("word").agg(F.min("ref_id").alias("x"), F.max("ref_id").alias("y"), F.min("part").alias("part"))
+    shared = cut(owners.filter("x < y").select("word", "x", "part"))
+    regions = rows.mapInArrow(_regions(min_len, _bitmap(shared)), "ref_id bigint, start bigint, text binary, words array<bigint>")
+    regions = cut(regions.withColumn("region", F.monotonically_increasing_id()))
+    homes = regions.select("region", F.explode("words").alias("word")).join(shared, "word").select("region", "x", "part").distinct()
+    routed = regions.join(homes, "region").select("x", "part", "ref_id", "start", "text")
+    texts = routed.groupBy("x", "part", "text").agg(F.min("ref_id").alias("least"), F.max("ref_id").alias("most"), F.count("*").alias("copies"))
+    # Shards of a home, and tasks for its regions with each of them.
+    n = F.octet_length("text")
+    sizes = texts.groupBy("x", "part").agg(F.ceil(F.sum(n) / shard).cast("int").alias("shards"), F.ceil(F.sum(n * F.col("copies")) / (64 * shard)).cast("int").alias("tasks"))
+    sizes = sizes.filter("shards > 1 or tasks > 1")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    one = lambda c, *by: F.pmod(F.xxhash64(*by), F.coalesce(c, F.lit(1))).cast("int")
+    references = (
+        texts.join(sizes, ["x", "part"], "left")
+        .select("x", "part", one("shards", "text").alias("shard"), every("tasks").alias("task"), F.lit(0).alias("kind"), "least", "most", F.lit(None).cast("bigint").alias("start"), "text")
     )
-    # The exact way for crowded anchors.
-    stretches = segments.join(crowded, "code", "left_semi").mapInArrow(
-        _stretches(min_len), f"{_SEGMENT}, least bigint, most bigint, a int, stretch binary"
+    streamed = (
+        routed.join(sizes, ["x", "part"], "left")
+        .select("x", "part", every("shards").alias("shard"), one("tasks", "ref_id", "start").alias("task"), F.lit(1).alias("kind"), F.col("ref_id").alias("least"), F.col("ref_id").alias("most"), "start", "text")
     )
-    common = stretches.groupBy("stretch").agg(F.min("least").alias("x"), F.max("most").alias("y")).filter("x < y").select("stretch")
-    by_content = stretches.join(common, "stretch").select(*_KEY, "a", (F.col("a") + min_len).alias("b"))
-    spans = by_automaton.unionByName(by_content)
+    letters = regions.agg(F.sum(n)).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-letters // (8 * shard)))
     found = (
-        places.join(spans, _KEY)
-        .select("ref_id", (F.col("at") - F.expr("extent div 64") + F.col("a")).alias("s"), (F.col("at") - F.expr("extent div 64") + F.col("b")).alias("e"))
+        references.unionByName(streamed)
+        .repartition(partitions, "x", "part", "shard", "task")
+        .sortWithinPartitions("x", "part", "shard", "task", "kind")
+        .mapInArrow(_matched(min_len, shard), "ref_id bigint, s bigint, e bigint")
         .groupBy("ref_id", "s")
         .agg(F.max("e").alias("e"))
     )

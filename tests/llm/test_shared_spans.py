@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandframe.llm import shared_spans as m
@@ -48,11 +49,12 @@ def rows(seed):
     return out + [(7, out[7][1])]
 
 
-@pytest.mark.parametrize("most,shard,n", [(4096, 8192, 64), (3, 5, 64), (10, 1, 50)])
-def test_against_brute_force(spark, most, shard, n):
-    data = [r for r in rows(most) if r[0] is not None]
+@pytest.mark.parametrize("seed,shard,n", [(1, 1 << 18, 64), (2, 2000, 64), (3, 1000, 50), (4, 2000, 100), (5, 2000, 20), (6, 500, 24)])
+def test_against_brute_force(spark, monkeypatch, seed, shard, n):
+    monkeypatch.setattr(m, "TILE", 128)
+    data = [r for r in rows(seed) if r[0] is not None]
     df = spark.createDataFrame([(*r, 1, "x") for r in data] + [(None, "ACGT" * 40, 1, "x")], "ref_id bigint, t string, code int, text string")
-    got = m.shared_spans(df, "ref_id", "t", n, most_segments=most, shard_segments=shard).collect()
+    got = m.shared_spans(df, "ref_id", "t", n, shard=shard).collect()
     assert sorted(map(tuple, got)) == brute(data, n)
 
 
@@ -69,4 +71,37 @@ def test_empty_table_and_limits(spark):
     df = spark.createDataFrame([], "r bigint, t string")
     assert m.shared_spans(df, "r", "t").count() == 0
     with pytest.raises(ValueError):
-        m.shared_spans(df, "r", "t", 20)
+        m.shared_spans(df, "r", "t", 0)
+
+
+def test_single_letters(spark):
+    df = spark.createDataFrame([(1, "ANNC"), (2, "GGAG"), (3, "T")], "r bigint, t string")
+    assert sorted(map(tuple, m.shared_spans(df, "r", "t", 1).collect())) == [(1, 0, 1), (2, 2, 3)]
+
+
+def test_automaton_against_search():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("AC") for _ in range(rng.randint(1, 30))) for _ in range(12)]
+    lanes = sorted(words + ["".join(rng.choice("ACG") for _ in range(40)) for _ in range(8)], key=len, reverse=True)
+    auto = m.Automaton()
+    for i, w in enumerate(words):
+        auto.add(m._CODE[np.frombuffer(w.encode(), np.uint8)].tobytes(), i % 5, i % 5 + i % 2)
+    auto.close()
+    owner = np.array([rng.randrange(6) for _ in lanes])
+    length = np.array([len(x) for x in lanes])
+    got = auto.spans(m._CODE[np.frombuffer("".join(lanes).encode(), np.uint8)], np.cumsum(length) - length, length, owner, 4)
+    got = sorted(zip(*[x.tolist() for x in got]))
+    want = []
+    for k, lane in enumerate(lanes):
+        marked = set()
+        for a in range(len(lane) - 3):
+            if any(lane[a : a + 4] in w and {i % 5, i % 5 + i % 2} - {owner[k]} for i, w in enumerate(words)):
+                marked |= {(a, a + 4)}
+        runs = []
+        for a, b in sorted(marked):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+        want += [(k, a, b) for a, b in runs]
+    assert got == sorted(want)
