@@ -2,22 +2,26 @@
 
 In the model a document has Dirichlet proportions of topics, each of its sentences one
 topic, and the words of a sentence come from its topic, but for a few that come from a
-shared one. There is a topic for each subject, and the shared one for what belongs to
-none. Words that most subjects use are left out. Labelled example texts are documents
-whose sentences may only be of their subject or the shared topic, so that every topic
-stays with a subject while it takes in words of the corpus that the examples lack.
-
-Each round of variational inference is one Spark job: the documents stay where they
-are, the topic-word weights (a vocabulary of bounded size times the number of topics)
-are broadcast, each task infers the topics of its documents' sentences in Arrow
-batches and sums the expected counts by term, Spark sums them over tasks. The weights
-of terms beyond the bounded size stay a Spark table, joined to the documents that use
-them in each round, so that no term is left out for its rank. A sentence
-without any word that the examples, or earlier rounds, tie to a subject counts for the
-shared topic then.
-After the last round the topics are mapped to subjects by their top terms, as the
-examples use them, and each sentence takes the topic that its document's proportions
-and its words make likeliest.
+shared one. There are several times as many topics as subjects, so that a subject may
+have topics of each language and style, and the shared one for what belongs to none.
+Words that most subjects use are left out.
+
+The topics begin as clusters of example texts, made without their labels, and are fitted
+to all sentences of the corpus, examples among them, as to any other. Each round of variational inference is
+one Spark job: the documents stay where they are, the topic-word weights (a vocabulary of
+bounded size times the number of topics) are broadcast, each task infers the topics of its
+documents' sentences in Arrow batches and sums the expected counts by term and topic, Spark
+sums them over tasks.
+
+After each round the topics are mapped to subjects by inspecting their top terms: a topic
+whose top terms the examples use mostly for one subject bears its name, any other has none.
+Topics of a subject lend each other some of their counts, and a term that the examples or
+the topics tie to one subject isn't one of the shared topic; a sentence without any such
+term counts for the shared topic. After the last round a document has the subjects whose
+topics have a sufficient proportion of it, in whole sentences.
+
+The weights of terms beyond the bounded vocabulary stay a Spark table by subject, joined to
+the documents that use them in each round, so that no term is left out for its rank.
 """
 
 from __future__ import annotations
@@ -38,19 +42,23 @@ from strandframe.runtime import cut
 class TopicSettings:
     """Parameters of the model."""
 
-    vocabulary: int = 200_000  #: most terms whose weights are broadcast, the commonest by texts; those of the rest are joined
+    topics_per_subject: int = 10  #: topics for each subject of the examples
+    vocabulary: int = 50_000  #: most terms whose weights are broadcast, the commonest by texts; those of the rest are joined
     rounds: int = 5  #: passes over the corpus
-    inner: int = 4  #: updates of a sentence's proportions in a pass
+    inner: int = 4  #: updates of a document's proportions in a pass
     last_inner: int = 10  #: the same when subjects are assigned
-    subject_prior: float = 0.05  #: Dirichlet weight of a subject in a document
+    topic_prior: float = 0.05  #: Dirichlet weight of a topic in a document
     shared_prior: float = 0.2  #: Dirichlet weight of the shared topic
     term_prior: float = 0.01  #: Dirichlet weight of a term in a topic
-    example_weight: float = 20.0  #: how often an example counts
+    lent: float = 0.3  #: share of a topic's counts that follows all topics of its subject
+    seed_examples: int = 2000  #: most examples that the topics begin with; more are sampled by a hash of their words
+    seed_weight: float = 20.0  #: how often an example counts in the beginning
+    seed_trials: int = 5  #: clusterings of which the closest is taken
     stop_subjects: float = 0.4  #: share of the subjects that use a term from which on it is left out
     clear: float = 0.6  #: share of a term's uses that one subject must have to be tied to it
     learned_count: float = 10.0  #: expected uses from which on a term that the examples lack is tied likewise
     top_terms: int = 25  #: terms of a topic that are looked at to name it
-    stray: float = 0.1  #: share of the words of a sentence about a subject that come from the shared topic
+    stray: float = 0.1  #: share of the words of a sentence of a topic that come from the shared one
 
 
 def sentences(text: Column) -> Column:
@@ -76,32 +84,46 @@ def exp_digamma_column(x: Column) -> Column:
     return F.exp(-1 / x - 1 / (x + 1)) * (y + 1 / (24 * y))
 
 
-def infer(w: np.ndarray, start: np.ndarray, document: np.ndarray, prior: np.ndarray, allowed: np.ndarray, rounds: int, stray: float):
-    """Topic probabilities of sentences, and topic shares of their tokens.
+def infer(fit: np.ndarray, document: np.ndarray, prior: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Topic probabilities of sentences, and the first sentence of each document.
 
-    ``w`` holds the weights of the tokens of all sentences one after the other, ``start`` the first
-    token of each (none is empty), ``document`` the ascending number of its document;
-    ``allowed`` says which topics a sentence may have. All words of a sentence come from
-    its topic, but for the share ``stray`` that comes from the shared one, the last.
+    ``fit`` holds the log likelihood of each sentence in each topic, ``document`` the
+    ascending number of its document.
     """
-    many = np.diff(np.append(start, len(w)))
-    mixed = (1 - stray) * w + stray * w[:, -1:]
-    fit = np.where(allowed, np.add.reduceat(np.log(mixed), start), -np.inf)
-    own = (1 - stray) * w / mixed
     _, first, row = np.unique(document, return_index=True, return_inverse=True)
-    gamma = np.broadcast_to(prior, (len(first), len(prior)))
+    gamma = np.ones((len(first), len(prior)))
     for _ in range(rounds):
         score = fit + np.log(exp_digamma(gamma))[row]
         score = np.exp(score - score.max(axis=1, keepdims=True))
         topic = score / score.sum(axis=1, keepdims=True)
         gamma = prior + np.add.reduceat(topic, first)
-    share = own * np.repeat(topic, many, axis=0)
-    share[:, -1] = 1 - share[:, :-1].sum(axis=1)
-    return topic, share
+    return topic, first
+
+
+@dataclass
+class TopicModel:
+    """Weights of the common terms in the topics (the last is the shared one), ties of the terms, and the subject of each topic (-1: none)."""
+
+    weights: np.ndarray
+    tied: np.ndarray
+    subject: np.ndarray
+    stray: float
+
+    def mixed(self, weights: np.ndarray) -> np.ndarray:
+        """Log likelihoods of words with these weights in a sentence of each topic."""
+        return np.log((1 - self.stray) * weights + self.stray * weights[:, -1:])
+
+    def own(self, weights: np.ndarray) -> np.ndarray:
+        """Share of such a word that comes from the topic of its sentence."""
+        return (1 - self.stray) * weights / ((1 - self.stray) * weights + self.stray * weights[:, -1:])
+
+    def spread(self, weights: np.ndarray) -> np.ndarray:
+        """Weights in the topics from weights in the subjects, of which the last is the shared one and topics without a subject have none."""
+        return np.where(self.subject >= 0, weights[:, self.subject], np.float32(1e-30))
 
 
 #: Tokens that are inferred in one go.
-TOKENS = 100_000
+TOKENS = 50_000
 
 
 @dataclass
@@ -123,19 +145,19 @@ class _Rare:
     tied: np.ndarray
 
 
-def _rare(batch: pa.RecordBatch, topics: int) -> tuple[_Rare, np.ndarray, np.ndarray, np.ndarray]:
+def _rare(batch: pa.RecordBatch, subjects: int) -> tuple[_Rare, np.ndarray, np.ndarray, np.ndarray]:
     """The rare terms of a batch; row, sentence in the row and number of each of their tokens."""
     none = np.zeros(0, dtype=np.int64)
     at = batch.schema.get_field_index("rare")
     found = batch.column(at).flatten() if at >= 0 else []
     if not len(found):
-        return _Rare(pa.array([], pa.string()), np.zeros((0, topics), dtype=np.float32), np.zeros(0, dtype=bool)), none, none, none
+        return _Rare(pa.array([], pa.string()), np.zeros((0, subjects), dtype=np.float32), np.zeros(0, dtype=bool)), none, none, none
     sentence, word, weights, tied = found.flatten()
     coded = word.dictionary_encode()
     number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     _, first = np.unique(number, return_index=True)
     rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-    matrix = weights.flatten().to_numpy(zero_copy_only=False).reshape(-1, topics)[first]
+    matrix = weights.flatten().to_numpy(zero_copy_only=False).reshape(-1, subjects)[first]
     return _Rare(coded.dictionary, matrix, tied.to_numpy(zero_copy_only=False)[first]), rows, sentence.to_numpy(zero_copy_only=False), number
 
 
@@ -173,83 +195,130 @@ def _parts(batch: pa.RecordBatch, size: int, rows: np.ndarray, sentence: np.ndar
         first = last
 
 
-def _expected_counts(model, prior: np.ndarray, size: int, settings: TopicSettings):
-    """Task function: expected counts of each (term, topic) in a partition."""
+def _inferred(batch: pa.RecordBatch, model: TopicModel, table: np.ndarray, prior: np.ndarray, subjects: int, rounds: int):
+    """The rare terms of a batch, and for each of its parts the part, tokens, their sentences, documents of sentences, and what ``infer`` gives."""
+    rare, *places = _rare(batch, subjects + 1)
+    beyond = model.mixed(model.spread(rare.weights))
+
+    def parts():
+        for part in _parts(batch, len(table), *places):
+            full = part.per_sentence > 0
+            if not full.any():
+                continue
+            many = part.per_sentence[full]
+            start = np.append(0, np.cumsum(many)[:-1])
+            row = np.repeat(np.arange(len(part.per_row)), part.per_row)[full]
+            fit = np.add.reduceat(_taken(table, beyond, part.tokens), start).astype(np.float64)
+            fit[~np.logical_or.reduceat(_taken(model.tied, rare.tied, part.tokens), start), :-1] = -np.inf
+            yield part, np.repeat(np.arange(len(many)), many), row, *infer(fit, row, prior, rounds)
+
+    return rare, parts()
+
+
+#: Expected counts below this are zero.
+LEAST = 1e-9
+
+
+def _expected_counts(shared, prior: np.ndarray, size: int, subjects: int, settings: TopicSettings):
+    """Task function: expected counts of a partition, by term and topic (a term of -1: of all terms) or by rare word and subject."""
+
+    def rows(terms, words, topics, values):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(terms, pa.int32()), pa.array(words, pa.string()), pa.array(topics, pa.int32()), pa.array(values, pa.float64())], names=["term", "word", "topic", "n"]
+        )
+
+    def by_topic(sums, own):
+        counts = own * sums
+        counts[:, -1] = sums.sum(axis=1) - counts[:, :-1].sum(axis=1)
+        return counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, tied = model.value
+        model = shared.value
         topics = len(prior)
-        names = ["term", "word", *[f"t{k}" for k in range(topics)]]
-        sums = np.zeros((topics, size))
+        table = model.mixed(model.weights)
+        sums, whole = np.zeros((size, topics)), np.zeros(topics)
+        to = np.where(model.subject >= 0, model.subject, subjects + 1)
         for batch in batches:
-            labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-            rare, *places = _rare(batch, topics)
-            rare_sums = np.zeros((topics, len(rare.words)))
-            for part in _parts(batch, size, *places):
-                full = part.per_sentence > 0
-                if not full.any():
-                    continue
-                many = part.per_sentence[full]
-                start = np.append(0, np.cumsum(many)[:-1])
-                document = np.repeat(np.arange(len(part.per_row)), part.per_row)[full]
-                label = labels[part.rows][document]
-                allowed = np.zeros((len(many), topics), dtype=bool)
-                allowed[:, -1] = True
-                allowed[(label < 0) & np.logical_or.reduceat(_taken(tied, rare.tied, part.tokens), start)] = True
-                allowed[label >= 0, label[label >= 0]] = True
-                _, share = infer(_taken(weights, rare.weights, part.tokens), start, document, prior, allowed, settings.inner, settings.stray)
-                share *= np.repeat(np.where(label >= 0, settings.example_weight, 1.0), many)[:, None]
-                for k in range(topics):
-                    both = np.bincount(part.tokens, weights=share[:, k], minlength=size + len(rare.words))
-                    sums[k] += both[:size]
-                    rare_sums[k] += both[size:]
+            rare, parts = _inferred(batch, model, table, prior, subjects, settings.inner)
+            beyond = np.zeros((len(rare.words), topics))
+            for part, sentence, _, topic, _ in parts:
+                order = np.argsort(part.tokens, kind="stable")
+                used, first = np.unique(part.tokens[order], return_index=True)
+                got = np.add.reduceat(topic[sentence[order]], first)
+                far = used >= size
+                sums[used[~far]] += got[~far]
+                beyond[used[far] - size] += got[far]
             if len(rare.words):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rare.words), pa.int32()), rare.words, *[pa.array(x) for x in rare_sums]], names=names)
-        used = np.flatnonzero(sums.any(axis=0))
-        if len(used):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.string()), *[pa.array(sums[k, used]) for k in range(topics)]], names=names
-            )
+                counts = by_topic(beyond, model.own(model.spread(rare.weights)))
+                whole += counts.sum(axis=0)
+                grouped = np.zeros((len(rare.words), subjects + 2))
+                np.add.at(grouped.T, to, counts.T)
+                w, s = np.nonzero(grouped[:, : subjects + 1] > LEAST)
+                yield rows(pa.nulls(len(w), pa.int32()), rare.words.take(pa.array(w)), s, grouped[w, s])
+        counts = by_topic(sums, model.own(model.weights))
+        whole += counts.sum(axis=0)
+        v, k = np.nonzero(counts > LEAST)
+        yield rows(v, pa.nulls(len(v), pa.string()), k, counts[v, k])
+        yield rows(np.full(topics, -1), pa.nulls(topics, pa.string()), np.arange(topics), whole)
 
     return run
 
 
-def _subjects_shown(model, prior: np.ndarray, named: list[str | None], least_share: float, settings: TopicSettings):
-    """Task function: the subjects of each document."""
-    names = sorted({n for n in named if n})
-    to = np.array([names.index(n) if n else -1 for n in named])
+def _subjects_shown(shared, prior: np.ndarray, subjects: list[str], least_share: float, settings: TopicSettings):
+    """Task function: the subjects of each document by its proportions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, _ = model.value
+        model = shared.value
+        table = model.mixed(model.weights)
+        of = np.zeros((len(prior), len(subjects)))
+        about = (model.subject >= 0) & (model.subject < len(subjects))
+        of[about, model.subject[about]] = 1
         for batch in batches:
             items = batch.column(batch.schema.get_field_index("item"))
-            rare, *places = _rare(batch, len(prior))
-            for part in _parts(batch, len(weights), *places):
-                full = part.per_sentence > 0
-                if not full.any():
-                    continue
-                many = part.per_sentence[full]
-                start = np.append(0, np.cumsum(many)[:-1])
-                row = np.repeat(np.arange(len(part.per_row)), part.per_row)[full]
-                allowed = np.ones((len(many), len(prior)), dtype=bool)
-                topic, _ = infer(_taken(weights, rare.weights, part.tokens), start, row, prior, allowed, settings.last_inner, settings.stray)
-                best = topic.argmax(axis=1)
-                about = to[best] >= 0
-                count = np.zeros((len(part.per_row), len(names)))
-                np.add.at(count, (row[about], to[best][about]), 1)
-                r, c = np.nonzero((count > 0) & (count >= least_share * part.per_row[:, None]))
+            for part, _, row, topic, first in _inferred(batch, model, table, prior, len(subjects), settings.last_inner)[1]:
+                count = np.floor(np.add.reduceat(topic, first) @ of + 0.5)  # whole sentences
+                r, c = np.nonzero((count > 0) & (count >= least_share * part.per_row[row[first]][:, None]))
                 yield pa.RecordBatch.from_arrays(
-                    [items.take(pa.array(r + part.rows.start)), pa.array([names[i] for i in c], pa.string())], names=["doc_id", "subject"]
+                    [items.take(pa.array(row[first][r] + part.rows.start)), pa.array([subjects[i] for i in c], pa.string())], names=["doc_id", "subject"]
                 )
 
     return run
 
 
-def first_counts(examples: np.ndarray, clear: float) -> np.ndarray:
-    """Counts (term, topic) to begin with: a term of the examples goes to the subject that has most of it, else to the shared topic."""
-    total = examples.sum(axis=1, keepdims=True)
-    tied = tied_terms(examples, clear)[:, None]
-    return np.concatenate([np.where(tied, examples, 0), np.where(tied, 0, total)], axis=1)
+def clusters(texts: list[list[str]], many: int, trials: int) -> np.ndarray:
+    """Cluster of each text, by the cosine of its words weighted by rarity: spherical k-means from spread seeds, the closest of some trials."""
+    users: dict[str, int] = {}
+    for t in texts:
+        for w in set(t):
+            users[w] = users.get(w, 0) + 1
+    number = {w: i for i, w in enumerate(sorted(w for w, n in users.items() if n > 1))}
+    x = np.zeros((len(texts), len(number) + 1), dtype=np.float32)
+    for i, t in enumerate(texts):
+        for w in t:
+            if w in number:
+                x[i, number[w]] = np.log(len(texts) / users[w])
+    x[:, -1] = 1e-3  # no text is empty
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best, closest = np.zeros(len(texts), dtype=np.int64), -1.0
+    for trial in range(trials):
+        rng = np.random.default_rng(trial)
+        centre = [x[rng.integers(len(x))]]
+        near = x @ centre[0]
+        while len(centre) < min(many, len(x)):
+            far = np.clip(1 - near, 0, None).astype(np.float64) ** 2
+            centre.append(x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))])
+            near = np.maximum(near, x @ centre[-1])
+        c = np.array(centre)
+        for _ in range(20):
+            label = (x @ c.T).argmax(axis=1)
+            total = np.zeros_like(c)
+            np.add.at(total, label, x)
+            norm = np.linalg.norm(total, axis=1, keepdims=True)
+            c = np.where(norm > 0, total / np.maximum(norm, 1e-9), c)
+        found = float((x @ c.T).max(axis=1).sum())
+        if found > closest:
+            best, closest = (x @ c.T).argmax(axis=1), found
+    return best
 
 
 def tied_terms(examples: np.ndarray, clear: float) -> np.ndarray:
@@ -257,19 +326,62 @@ def tied_terms(examples: np.ndarray, clear: float) -> np.ndarray:
     return (examples.max(axis=1) >= clear * examples.sum(axis=1)) & (examples.max(axis=1) > 0)
 
 
-def name_topics(weights: np.ndarray, examples: np.ndarray, subjects: list[str], top: int) -> list[str | None]:
-    """Subject of each topic by its top terms: the one whose examples use them most; None if no subject has most of their weight."""
+def name_topics(counts: np.ndarray, examples: np.ndarray, top: int, whole: np.ndarray | None = None, before: np.ndarray | None = None) -> np.ndarray:
+    """Subject of each topic by its top terms: the one whose examples use them most, or -1 if no subject has most of their weight.
+
+    ``counts`` and ``examples`` hold the terms' counts in the topics and in the examples of
+    the subjects. A topic whose top terms are less than a tenth of its counts ``whole`` (most of its
+    terms are not among the common ones) keeps its subject of ``before``.
+    """
     total = examples.sum(axis=1, keepdims=True)
     share = np.divide(examples, total, out=np.zeros_like(examples), where=total > 0)
-    named: list[str | None] = []
-    for k in range(weights.shape[1]):
-        order = np.argsort(-weights[:, k])[:top]
-        votes = (weights[order, k][:, None] * share[order]).sum(axis=0)
-        best = int(votes.argmax())
-        named.append(subjects[best] if votes[best] > 0.5 * max(votes.sum(), 1e-300) else None)
+    named = np.full(counts.shape[1], -1) if before is None else before.copy()
+    for k in range(counts.shape[1]):
+        order = np.argsort(-counts[:, k], kind="stable")[:top]
+        votes = (counts[order, k][:, None] * share[order]).sum(axis=0)
+        if before is None or votes.sum() >= 0.1 * whole[k]:
+            best = int(votes.argmax())
+            named[k] = best if votes[best] > 0.5 * max(votes.sum(), 1e-300) else -1
     return named
 
 
+def first_examples(shown: DataFrame, label, settings: TopicSettings) -> tuple[list[int], list[list[str]]]:
+    """Labels and words of the examples that the topics begin with."""
+    rows = shown.select(label.alias("label"), F.flatten("s").alias("words"))
+    rows = rows.orderBy(F.xxhash64("words"), "words", "label").limit(settings.seed_examples).collect()
+    return [r["label"] for r in rows], [r["words"] for r in rows]
+
+
+def first_topics(begin: tuple[list[int], list[list[str]]], number: dict[str, int], seen: np.ndarray, known: np.ndarray, settings: TopicSettings):
+    """Counts (common term, topic), counts of all terms by topic, and subjects of the topics, from clusters of examples.
+
+    ``number`` gives the common terms, ``seen`` and ``known`` their uses in the examples and
+    whether these tie them to a subject. The labels serve to leave out words of most subjects and to name the clusters.
+    """
+    labels, texts = begin
+    subjects = seen.shape[1]
+    using: dict[str, set[int]] = {}
+    for label, words in zip(labels, texts):
+        for w in words:
+            using.setdefault(w, set()).add(label)
+    texts = [[w for w in words if len(using[w]) <= max(1, settings.stop_subjects * subjects)] for words in texts]
+    topics = settings.topics_per_subject * subjects
+    cluster = clusters(texts, topics, settings.seed_trials)
+    own = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    uses, shown = np.zeros((len(own), topics)), np.zeros((len(own), subjects))
+    for label, k, words in zip(labels, cluster, texts):
+        for w in words:
+            uses[own[w], k] += 1
+            shown[own[w], label] += 1
+    counts = np.zeros((len(number), topics + 1))
+    for w, i in own.items():
+        if w in number:
+            counts[number[w], :-1] = settings.seed_weight * uses[i]
+    counts[:, -1] = np.where(known, 0, seen.sum(axis=1))
+    whole = np.append(settings.seed_weight * uses.sum(axis=0), shown[~tied_terms(shown, settings.clear)].sum())
+    return counts, whole, name_topics(uses, shown, settings.top_terms)
+
+
 class RareTerms:
     """The terms beyond the broadcast ones, as Spark tables: their model, and their tokens by unit and sentence."""
 
@@ -283,37 +395,52 @@ class RareTerms:
         tokens = rows.select("unit", F.posexplode("s").alias("sentence", "words")).select("unit", "sentence", F.explode("words").alias("word"))
         self.tokens = cut(tokens.join(self.terms.select("word"), "word"))
         none = F.array_repeat(F.lit(0.0), subjects)
-        first = F.when(F.col("known"), F.concat("seen", F.array(F.lit(0.0)))).otherwise(F.concat(none, F.array(total)))
-        self.counts = self.terms.select("word", "seen", first.alias("c"), F.col("known").alias("tied"))
+        many = F.transform("seen", lambda n: n * settings.seed_weight)
+        first = F.when(F.col("known"), F.concat(many, F.array(F.lit(0.0)))).otherwise(F.concat(none, F.array(total)))
+        self.many = self.terms.count()
+        self.counts = self.terms.select("word", first.alias("c"), F.col("known").alias("tied"))
 
     def learn(self, sums: DataFrame) -> None:
-        """Takes the expected counts of a round: ``word`` and a column for each topic."""
-        c = sums.select("word", F.array(*[f"t{k}" for k in range(self.topics)]).alias("c"))
+        """Takes the expected counts of a round: ``word``, ``topic`` (number of a subject, the last the shared one) and ``n``."""
+        each = F.array(*[F.coalesce(F.sum(F.when(F.col("topic") == k, F.col("n"))), F.lit(0.0)) for k in range(self.topics)])
+        c = sums.groupBy("word").agg(each.alias("c"))
         all_, own = F.aggregate("c", F.lit(0.0), lambda a, x: a + x), F.array_max(F.slice("c", 1, self.topics - 1))
         learned = (own >= self.settings.clear * all_) & (all_ >= self.settings.learned_count)
-        self.counts = self.terms.join(c, "word").select("word", "seen", "c", (F.col("known") | learned).alias("tied"))
-
-    def _lam(self) -> list[Column]:
-        of = lambda k: F.get("c", F.lit(k)) + self.settings.term_prior
-        return [*map(of, range(self.topics - 1)), F.when(F.col("tied"), F.lit(self.settings.term_prior)).otherwise(of(self.topics - 1))]
-
-    def total(self) -> np.ndarray:
-        """Sum of the Dirichlet weights of the terms, by topic."""
-        return np.array([x or 0.0 for x in self.counts.agg(*[F.sum(x) for x in self._lam()]).first()])
+        self.counts = self.terms.join(c, "word").select("word", "c", (F.col("known") | learned).alias("tied"))
 
     def joined(self, units: DataFrame, total: np.ndarray) -> DataFrame:
-        """``units`` with ``rare``: sentence, word, weights and tie of each token of these terms."""
-        weights = [(exp_digamma_column(x) / float(t) + 1e-30).cast("float") for x, t in zip(self._lam(), exp_digamma(total))]
+        """``units`` with ``rare``: sentence, word, weights by subject and tie of each token of these terms; ``total``: of all terms' counts."""
+        prior = F.lit(self.settings.term_prior)
+        lam = [F.get("c", F.lit(k)) + prior for k in range(self.topics)]
+        lam[-1] = F.when(F.col("tied"), prior).otherwise(lam[-1])
+        weights = [(exp_digamma_column(x) / float(t) + 1e-30).cast("float") for x, t in zip(lam, exp_digamma(total))]
         model = self.counts.select("word", F.array(*weights).alias("w"), "tied")
         rare = self.tokens.join(model, "word").groupBy("unit").agg(F.collect_list(F.struct("sentence", "word", "w", "tied")).alias("rare"))
         return units.join(rare, "unit", "left")
 
-    def top(self, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and uses in the examples, of the terms that have most of a topic."""
-        each = self.counts.select("word", "seen", "c", F.posexplode("c").alias("topic", "n"))
-        first = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "word"))
-        found = {r["word"]: r for r in each.withColumn("place", first).filter(F.col("place") <= most).select("word", "c", "seen").collect()}
-        return np.array([r["c"] for r in found.values()]).reshape(-1, self.topics), np.array([r["seen"] for r in found.values()]).reshape(-1, self.topics - 1)
+
+def topic_model(counts: np.ndarray, whole: np.ndarray, named: np.ndarray, known: np.ndarray, rare: int, learning: bool, settings: TopicSettings) -> TopicModel:
+    """Weights by expected counts (term, topic) of the common terms and ``whole`` of all terms; ``named`` holds the subjects of the topics.
+
+    ``rare`` is the number of the other terms.
+    """
+    subjects = int(named.max(initial=-1)) + 1
+    groups = np.zeros((len(counts), subjects))
+    about = np.flatnonzero(named >= 0)
+    np.add.at(groups.T, named[about], counts.T[about])
+    size = np.zeros(subjects)
+    np.add.at(size, named[about], whole[about])
+    tied = known
+    if learning and subjects:  # what the examples lack is tied to the subject that the corpus shows it with
+        tied = known | ((groups.max(axis=1) >= settings.clear * counts.sum(axis=1)) & (counts.sum(axis=1) >= settings.learned_count))
+    lam = counts.astype(float)
+    lent = groups[:, named[about]] * (whole[about] / np.maximum(size[named[about]], 1e-9))
+    lam[:, about] = (1 - settings.lent) * lam[:, about] + settings.lent * lent
+    lam += settings.term_prior
+    lam[tied, -1] = settings.term_prior
+    total = lam.sum(axis=0) + np.maximum(whole - counts.sum(axis=0), 0) + rare * settings.term_prior
+    weights = (exp_digamma(lam) / exp_digamma(total) + 1e-30).astype(np.float32)
+    return TopicModel(weights, tied, named, settings.stray)
 
 
 def assign_subjects(
@@ -365,42 +492,40 @@ def assign_subjects(
     for i, r in enumerate(common):
         if r["seen"]:
             seen[i] = r["seen"]
-    prior = np.append(np.full(len(subjects), settings.subject_prior), settings.shared_prior)
+    known = tied_terms(seen, settings.clear)
     rest = None
     if len(common) == settings.vocabulary:
         last = common[-1]
         beyond = (F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.col("word") > last["word"]))
         rest = RareTerms(rows, vocabulary.filter(beyond), len(subjects), settings)
-    counts = first_counts(seen, settings.clear)
-    known = tied_terms(seen, settings.clear)
-    topics = ", ".join(f"t{k} double" for k in range(len(prior)))
-
-    def shared_model(c: np.ndarray, tied: np.ndarray):
-        lam = c + settings.term_prior
-        lam[tied, -1] = settings.term_prior  # what is tied to a subject is not for all
-        total = lam.sum(axis=0)
-        if rest:
-            total = total + rest.total()
-        weights = (exp_digamma(lam) / exp_digamma(total) + 1e-30).astype(np.float32)
-        return spark.sparkContext.broadcast((weights, tied)), rest.joined(units, total) if rest else units
-
-    model, given = shared_model(counts, known)
+    # The topics begin as clusters of examples; the number of these is bounded by a setting.
+    counts, whole, named = first_topics(first_examples(shown, label, settings), {r["word"]: i for i, r in enumerate(common)}, seen, known, settings)
+    topics = len(whole)
+    prior = np.append(np.full(topics - 1, settings.topic_prior), settings.shared_prior)
+
+    def shared_model(learning: bool):
+        """The broadcast model, and the units with what it lacks."""
+        to = np.append(named, len(subjects))
+        rare = rest.many if rest else 0
+        model = topic_model(counts, whole, np.append(named, -1), known, rare, learning, settings)
+        model.subject = to
+        total = np.full(len(subjects) + 2, (len(common) + rare) * settings.term_prior)
+        np.add.at(total, np.where(to >= 0, to, len(subjects) + 1), whole)
+        return spark.sparkContext.broadcast(model), rest.joined(units, total[:-1]) if rest else units
+
+    shared, given = shared_model(False)
     for _ in range(settings.rounds):
-        job = given.mapInArrow(_expected_counts(model, prior, len(common), settings), f"term int, word string, {topics}")
-        job = job.groupBy("term", "word").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(len(prior))])
+        job = given.mapInArrow(_expected_counts(shared, prior, len(common), len(subjects), settings), "term int, word string, topic int, n double")
+        job = job.groupBy("term", "word", "topic").agg(F.sum("n").alias("n"))
         if rest:
             job = cut(job)
-            rest.learn(job.filter("term is null"))
-        counts = np.zeros((len(common), len(prior)))
-        for r in job.filter("term is not null").drop("word").collect():
-            counts[r["term"]] = r[1:]
-        # Terms that the examples lack are tied to the subject that the corpus shows them with.
-        learned = (counts[:, :-1].max(axis=1) >= settings.clear * counts.sum(axis=1)) & (counts.sum(axis=1) >= settings.learned_count)
-        model, given = shared_model(counts, known | learned)
-    if rest:
-        more = rest.top(settings.top_terms)
-        counts, seen = np.concatenate([counts, more[0]]), np.concatenate([seen, more[1]])
-    named = name_topics(counts / np.maximum(counts.sum(axis=0), 1e-300), seen, subjects, settings.top_terms)
-    named[-1] = None  # the shared topic
-    found = given.filter(F.col("label") < 0).mapInArrow(_subjects_shown(model, prior, named, least_share, settings), "doc_id bigint, subject string")
+            rest.learn(job.filter("word is not null"))
+        counts, whole = np.zeros((len(common), topics)), np.zeros(topics)
+        found = job.filter("word is null").select("term", "topic", "n").toArrow()
+        term, topic, n = [found[c].to_numpy() for c in ("term", "topic", "n")]
+        counts[term[term >= 0], topic[term >= 0]] = n[term >= 0]
+        whole[topic[term < 0]] = n[term < 0]
+        named = name_topics(counts[:, :-1], seen, settings.top_terms, whole, named)
+        shared, given = shared_model(True)
+    found = given.filter(F.col("label") < 0).mapInArrow(_subjects_shown(shared, prior, subjects, least_share, settings), "doc_id bigint, subject string")
     return found.distinct()

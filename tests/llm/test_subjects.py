@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.llm.subjects import TopicSettings, assign_subjects, exp_digamma, sentences
+from strandframe.llm.subjects import TopicSettings, assign_subjects, clusters, exp_digamma, name_topics, sentences
 
 WORDS = {s: [f"{s}{a}{b}" for a in "bcdf" for b in "aeiou"] for s in ("red", "green", "blue", "grey")}
 COMMON = ["the", "with", "was", "near"]
@@ -86,3 +86,21 @@ def test_held_out_examples(spark):
     got = {tuple(r) for r in found.filter("doc_id > 1000000000").collect()}
     want = {tuple(r) for r in held.select("doc_id", "subject").collect()}
     assert len(got & want) >= 0.97 * max(len(got), len(want))
+
+
+def test_naming_can_fail():
+    counts = np.array([[5.0, 0, 4, 0], [4, 0, 4, 0], [0, 9, 0, 0], [0, 0, 0, 6]])
+    examples = np.array([[3.0, 0], [2, 1], [0, 4], [0, 0]])
+    assert name_topics(counts[:, :2], examples, 2).tolist() == [0, 1]
+    # A topic of both subjects, and one of words that the examples lack.
+    mixed = np.array([[5.0, 0], [0, 0], [5, 0], [0, 6]])
+    assert name_topics(mixed, examples, 3).tolist() == [-1, -1]
+    assert name_topics(mixed, examples, 3, mixed.sum(axis=0), np.array([1, 1])).tolist() == [-1, 1]
+
+
+def test_clusters_follow_words():
+    rng = random.Random(2)
+    texts = [rng.sample(WORDS[s], 4) for s in WORDS for _ in range(30)] + [[], ["alone"]]
+    found = clusters(texts, 12, 3)
+    for k in set(found[:120]):
+        assert len({i // 30 for i in np.flatnonzero(found[:120] == k)}) == 1
