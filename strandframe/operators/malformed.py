@@ -2,8 +2,9 @@
 
 Every line is taken apart into nullable text columns with built-in string and
 array functions. Format and value rules then fill an error array in the order of
-their precedence; an empty array means a valid row. Everything is a projection
-over the input, so there is no shuffle and the rules run where the scan runs.
+their precedence; an empty array means a valid row. There is no shuffle and the rules
+run where the scan runs, each once a line; lines without a quote are taken apart by a
+split, others by one expression.
 """
 
 from __future__ import annotations
@@ -52,13 +53,19 @@ def _unquoted(field: Column) -> Column:
     return F.when(field.startswith('"'), inner).otherwise(field)
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is evaluated once a row: filters and projections that follow read its value instead of repeating it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_lines(df: DataFrame, line: str, keep: Sequence[str] = (), fmt: LineFormat = READ_LINE) -> DataFrame:
     """``keep`` columns, the text fields of ``fmt`` and ``errors`` (array of reasons) of every line.
 
     One carriage return at the end isn't part of the line. Reasons in order:
     ``column_count`` for a null or empty line, ``quoting`` for quotes that don't
     enclose whole fields, ``column_count`` for another number of fields, then the
-    reason of each rule that doesn't hold; a rule that yields null doesn't hold.
+    reason of each rule that doesn't hold, and ``invalid_value`` for each field that
+    its type can't take; a rule that yields null doesn't hold.
     Fields are null where the line can't be taken apart. Other columns of ``df``
     are left out, so their names can't clash; a kept column must not bear the name
     of a field or ``errors``. Repeated lines are ruled on one by one; an empty
@@ -67,39 +74,37 @@ def parse_lines(df: DataFrame, line: str, keep: Sequence[str] = (), fmt: LineFor
     clash = set(keep) & {*fmt.fields, "errors"}
     if clash:
         raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
-    text = F.when(F.col(line).endswith("\r"), F.expr(f"left(`{line}`, length(`{line}`) - 1)")).otherwise(F.col(line))
-    base = df.select(*[F.col(c) for c in keep], text.alias("__line")).withColumn("__part", F.split("__line", '"', -1))
-    last = F.size("__part") - 1
+    raw = df.select(*[F.col(c) for c in keep], F.col(line).alias("__raw"))
+    base = _once(raw, F.when(F.col("__raw").endswith("\r"), F.expr("left(__raw, length(__raw) - 1)")).otherwise(F.col("__raw")), "__line")
+    quoted = F.contains("__line", F.lit('"'))
+    part = F.split("__line", '"', -1)
     # Even parts lie outside quotes: an empty one between two quotes is a doubled
     # quote, any other must touch the quotes beside it with commas.
-    outside = F.filter("__part", lambda _, i: i % 2 == 0)
-    sound = (F.size("__part") % 2 == 1) & F.forall(
+    outside = F.filter(part, lambda _, i: i % 2 == 0)
+    sound = (F.size(part) % 2 == 1) & F.forall(
         F.transform(
-            "__part",
+            part,
             lambda x, i: (i % 2 == 1)
             | (x == "")
-            | (((i == 0) | x.startswith(",")) & ((i == last) | x.endswith(","))),
+            | (((i == 0) | x.startswith(",")) & ((i == F.size(part) - 1) | x.endswith(","))),
         ),
         lambda ok: ok,
     )
-    commas = F.aggregate(outside, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
-    shaped = base.select(
-        *[F.col(c) for c in keep],
-        "__line",
+    commas = F.aggregate(F.when(quoted, outside).otherwise(F.array("__line")), F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
+    shape = (
         F.when(F.coalesce(F.col("__line"), F.lit("")) == "", "column_count")
-        .when(~sound, "quoting")
+        .when(quoted & ~sound, "quoting")
         .when(commas != len(fmt.fields) - 1, "column_count")
-        .alias("__shape"),
     )
+    shaped = _once(base, shape, "__shape")
     whole = r"(?s)\A" + ",".join([FIELD] * len(fmt.fields)) + r"\z"
-    fields = [
-        F.when(F.col("__shape").isNull(), _unquoted(F.regexp_extract("__line", whole, i + 1))).alias(name)
-        for i, name in enumerate(fmt.fields)
-    ]
-    loaded = shaped.select(*[F.col(c) for c in keep], "__shape", *fields)
-    broken = [F.when(~F.coalesce(F.expr(r.condition), F.lit(False)), F.lit(r.reason)) for r in fmt.rules]
+    taken = F.array(*[_unquoted(F.regexp_extract("__line", whole, i + 1)) for i in range(len(fmt.fields))])
+    parted = _once(shaped, F.when(F.col("__shape").isNull(), F.when(quoted, taken).otherwise(F.split("__line", ",", -1))), "__field")
+    loaded = parted.select(*[F.col(c) for c in keep], "__shape", *[F.get("__field", F.lit(i)).alias(c) for i, c in enumerate(fmt.fields)])
+    casts = [Rule(f"try_cast(`{c}` as {t}) is not null") for c, t in zip(fmt.fields, fmt.types) if t != "string"]
+    broken = [F.when(~F.coalesce(F.expr(r.condition), F.lit(False)), F.lit(r.reason)) for r in (*fmt.rules, *casts)]
     errors = F.when(F.col("__shape").isNotNull(), F.array("__shape")).otherwise(F.array_compact(F.array(*broken)))
-    return loaded.select(*keep, *fmt.fields, errors.alias("errors"))
+    return _once(loaded, errors, "errors").select(*keep, *fmt.fields, "errors")
 
 
 def valid_rows(parsed: DataFrame, keep: Sequence[str] = (), fmt: LineFormat = READ_LINE) -> DataFrame:
