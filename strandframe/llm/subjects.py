@@ -44,7 +44,7 @@ class TopicSettings:
 
     topics_per_subject: int = 10  #: topics for each subject of the examples
     vocabulary: int = 50_000  #: most terms whose weights are broadcast, the commonest by texts; those of the rest are joined
-    rounds: int = 5  #: passes over the corpus
+    rounds: int = 3  #: passes over the corpus
     inner: int = 4  #: updates of a document's proportions in a pass
     last_inner: int = 10  #: the same when subjects are assigned
     topic_prior: float = 0.05  #: Dirichlet weight of a topic in a document
@@ -90,13 +90,14 @@ def infer(fit: np.ndarray, document: np.ndarray, prior: np.ndarray, rounds: int)
     ``fit`` holds the log likelihood of each sentence in each topic, ``document`` the
     ascending number of its document.
     """
-    _, first, row = np.unique(document, return_index=True, return_inverse=True)
-    gamma = np.ones((len(first), len(prior)))
+    first = np.flatnonzero(np.append(True, document[1:] != document[:-1]))
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(document))))
+    likely = np.exp(fit - fit.max(axis=1, keepdims=True))
+    weight = np.ones((len(first), len(prior)), dtype=likely.dtype)
     for _ in range(rounds):
-        score = fit + np.log(exp_digamma(gamma))[row]
-        score = np.exp(score - score.max(axis=1, keepdims=True))
-        topic = score / score.sum(axis=1, keepdims=True)
-        gamma = prior + np.add.reduceat(topic, first)
+        topic = likely * weight[row]
+        topic /= topic.sum(axis=1, keepdims=True)
+        weight = exp_digamma(np.add.reduceat(topic, first) + prior.astype(likely.dtype))
     return topic, first
 
 
@@ -208,7 +209,7 @@ def _inferred(batch: pa.RecordBatch, model: TopicModel, table: np.ndarray, prior
             many = part.per_sentence[full]
             start = np.append(0, np.cumsum(many)[:-1])
             row = np.repeat(np.arange(len(part.per_row)), part.per_row)[full]
-            fit = np.add.reduceat(_taken(table, beyond, part.tokens), start).astype(np.float64)
+            fit = np.add.reduceat(_taken(table, beyond, part.tokens), start)
             fit[~np.logical_or.reduceat(_taken(model.tied, rare.tied, part.tokens), start), :-1] = -np.inf
             yield part, np.repeat(np.arange(len(many)), many), row, *infer(fit, row, prior, rounds)
 
