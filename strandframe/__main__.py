@@ -40,7 +40,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         reads = read_pairs(spark, ",".join(args.first), ",".join(args.second))
     else:
         reads = read_single(spark, ",".join(args.first))
-    rows = map_reads(reads, read_index(spark, f"{args.index}/seeds"), references, pairing="none" if args.no_pairing else "best", sort=args.sort)
+    rows = map_reads(reads, read_index(spark, f"{args.index}/seeds", ranks=True), references, pairing="none" if args.no_pairing else "best", sort=args.sort)
     if args.format == "bam":
         write_bam(rows, references, args.output, "coordinate" if args.sort else "unsorted")
     else:

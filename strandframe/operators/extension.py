@@ -123,25 +123,61 @@ def _task(cfg: MapperConfig):
     return run
 
 
+#: Letters of a reference tile, at least.
+TILE = 1 << 14
+
+
+def reference_tiles(references: DataFrame, tile: int, margin: int) -> DataFrame:
+    """``ref_id``, ``tile``, ``ref_len`` and ``piece``: tiles of all references, each with the ``margin`` letters that follow it.
+
+    References are cut in one pass over their letters; null and empty ones have no tile.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ref, seq in zip(batch.column(0), batch.column(1)):
+                text = seq.as_py().encode("ascii", "replace")
+                for first in range(0, len(text), 64 * tile):
+                    starts = range(first, min(len(text), first + 64 * tile), tile)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ref.as_py()] * len(starts), pa.int64()),
+                            pa.array([x // tile for x in starts], pa.int64()),
+                            pa.array([len(text)] * len(starts), pa.int64()),
+                            pa.array([text[x : x + tile + margin].decode("ascii") for x in starts]),
+                        ],
+                        names=["ref_id", "tile", "ref_len", "piece"],
+                    )
+
+    rows = references.filter(F.length("seq") > 0).select(F.col("ref_id").cast("bigint"), "seq")
+    return rows.mapInArrow(run, "ref_id bigint, tile bigint, ref_len bigint, piece string")
+
+
 def extend_candidates(candidates: DataFrame, reads: DataFrame, references: DataFrame, cfg: MapperConfig = CONFIG) -> DataFrame:
     """Alignments of candidates: read, ``rank`` (1, 2 by score), ref_id, pos, is_rev, mapq, cigar, nm, as_score.
 
     ``references`` has ``ref_id`` and ``seq``. Candidates whose extension is empty or
-    leaves the reference are dropped. Of each reference only the part within reach is
-    sent to the walk: a walk of n letters can't skip more than n plus the x-drop.
+    leaves the reference are dropped. References are cut into tiles once, which overlap by
+    what the longest read can reach (a walk of n letters can't skip more than n plus the
+    x-drop), and a candidate meets the one tile that holds its part: its cost doesn't depend on
+    the reference's length, and the candidates of one reference spread over its tiles.
     """
     seqs = mates(reads).withColumnRenamed("seq", "__seq")
-    refs = references.filter(F.length("seq") > 0).select(F.col("ref_id").alias("__ref"), F.col("seq").alias("__whole"))
-    both = candidates.join(seqs, READ).join(refs, F.col("ref_id") == F.col("__ref"))
+    longest = reads.agg(F.max(F.greatest(F.length("seq1"), F.length("seq2")))).first()[0] or 0
+    most = 2 * longest + 2 * cfg.x_drop + 2 * cfg.lookahead
+    tile = max(TILE, 4 * most)
+    tiles = reference_tiles(references, tile, 2 * most).select(F.col("ref_id").alias("__ref"), F.col("tile").alias("__tile"), "ref_len", F.col("piece").alias("__piece"))
     reach = 2 * F.length("__seq") + 2 * cfg.x_drop + 2 * cfg.lookahead
     # The part starts at the reference's start or out of reach, and the same holds for its end.
-    from_ = F.greatest(F.lit(0), F.col("diag") + F.col("anchor") - reach)
+    from_ = F.greatest(F.lit(0), F.col("diag") + F.col("anchor") - reach).cast("bigint")
+    placed = candidates.join(seqs, READ).withColumn("__from", from_).withColumn("__length", F.col("diag") + F.col("anchor") + reach - F.col("__from"))
+    both = placed.join(tiles, (F.col("ref_id") == F.col("__ref")) & (F.expr(f"__from div {tile}") == F.col("__tile")))
     inputs = both.select(
         *READ, "vote_rank", "ref_id", "is_rev", "mapq", "anchor", "diag",
         F.when(F.col("is_rev"), reverse_complement_upper(F.col("__seq"))).otherwise(F.col("__seq")).alias("seq"),
-        F.substring("__whole", from_ + 1, F.col("diag") + F.col("anchor") + reach - from_).alias("part"),
-        from_.cast("int").alias("part_start"),
-        F.length("__whole").alias("ref_len"),
+        F.substring("__piece", (F.col("__from") % tile + 1).cast("int"), F.col("__length").cast("int")).alias("part"),
+        F.col("__from").alias("part_start"),
+        "ref_len",
     )
     found = inputs.mapInArrow(
         _task(cfg), f"read_id bigint, mate int, vote_rank int, ref_id bigint, is_rev boolean, mapq int, pos int, nm int, as_score int, cigar {CIGAR_TYPE}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.config import CONFIG, MapperConfig
 from strandframe.operators.syncmers import explode_syncmers
+from strandframe.runtime import cut
 
 
 def remainder(key44: Column) -> Column:
@@ -35,9 +36,12 @@ def without_frequent(seeds: DataFrame, most: int) -> DataFrame:
 
 
 def build_index(references: DataFrame, ref_id: str = "ref_id", seq: str = "seq", cfg: MapperConfig = CONFIG) -> DataFrame:
-    """``key44``, ``ref_id``, ``pos`` of the seeds of all references. Null and short sequences have none."""
+    """``key44``, ``ref_id``, ``pos`` of the seeds of all references. Null and short sequences have none.
+
+    The seeds are taken from the sequences and written once, then counted and filtered.
+    """
     ids = references.select(F.col(ref_id).alias("ref_id"), F.col(seq).alias("seq"))
-    raw = explode_syncmers(ids, ["ref_id"], "seq", cfg=cfg).select("key44", "ref_id", "pos")
+    raw = cut(explode_syncmers(ids, ["ref_id"], "seq", cfg=cfg).select("key44", "ref_id", "pos"))
     return without_frequent(raw, cfg.most_per_remainder)
 
 
@@ -57,22 +61,25 @@ def bucket_offsets(index: DataFrame) -> DataFrame:
 
 
 def ranked(index: DataFrame, cfg: MapperConfig = CONFIG) -> DataFrame:
-    """Index rows that a probe can meet, with ``full``: whether the key has at least as many as a probe takes.
+    """Index rows with ``rank``, their place among those of their key, and ``full``: whether the key has at least as many as a probe takes.
 
     A probe takes the first ones by (ref_id, pos); so the limit is applied to the index
-    once instead of to every probe. A key has at most ``most_per_remainder`` rows.
+    once instead of to every probe. A key has at most ``most_per_remainder`` rows. A written
+    index has these columns already.
     """
+    if "full" in index.columns:
+        return index
     order = Window.partitionBy("key44").orderBy("ref_id", "pos")
-    rows = index.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cfg.most_per_probe)
-    whole = Window.partitionBy("key44")
-    return rows.withColumn("full", F.max("rank").over(whole) >= cfg.most_per_probe).select("key44", "ref_id", "pos", "full")
+    rows = index.withColumn("rank", F.row_number().over(order))
+    whole = F.max("rank").over(Window.partitionBy("key44"))
+    return rows.withColumn("full", whole >= cfg.most_per_probe).select("key44", "ref_id", "pos", "rank", "full")
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Parquet, ranged and sorted by key, so that row groups are skipped when a few keys are read."""
-    index.repartitionByRange("key44").sortWithinPartitions("key44", "ref_id", "pos").write.mode("overwrite").parquet(path)
+def write_index(index: DataFrame, path: str, cfg: MapperConfig = CONFIG) -> None:
+    """Parquet, ranged and sorted by key, so that row groups are skipped when a few keys are read; with the ranks that seeding needs."""
+    ranked(index, cfg).repartitionByRange("key44").sortWithinPartitions("key44", "ref_id", "pos").write.mode("overwrite").parquet(path)
 
 
-def read_index(spark, path: str) -> DataFrame:
-    """The index that ``write_index`` wrote."""
-    return spark.read.schema("key44 bigint, ref_id bigint, pos int").parquet(path)
+def read_index(spark, path: str, ranks: bool = False) -> DataFrame:
+    """The index that ``write_index`` wrote; with its ranks, mapping needn't number it again."""
+    return spark.read.schema("key44 bigint, ref_id bigint, pos int" + (", rank int, full boolean" if ranks else "")).parquet(path)

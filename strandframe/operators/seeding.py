@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from strandframe.config import CONFIG, MapperConfig
 from strandframe.operators.index import ranked
 from strandframe.operators.syncmers import explode_syncmers
+from strandframe.runtime import cut
 
 READ = ["read_id", "mate"]
+#: Index rows that are broadcast at most, some 40 bytes each; a larger index is joined by a shuffle of both sides.
+BROADCAST_SEEDS = 2_000_000
 
 
 def mates(reads: DataFrame) -> DataFrame:
@@ -27,9 +30,15 @@ def seed_hits(probed: DataFrame, index: DataFrame, cfg: MapperConfig = CONFIG) -
     """Hits ``read_id, mate, is_rev, qpos, ref_id, pos, diag, full``.
 
     A probe takes at most ``most_per_probe`` seeds, a read at most ``most_per_read`` in
-    the order of (strand, qpos, ref_id, pos).
+    the order of (strand, qpos, ref_id, pos). An index of at most ``BROADCAST_SEEDS`` rows
+    is broadcast, so that the probes aren't shuffled.
     """
-    joined = probed.join(ranked(index, cfg), "key44")
+    near = ranked(index, cfg)
+    near = near if near is index else cut(near)
+    near = near.filter(F.col("rank") <= cfg.most_per_probe).drop("rank")
+    if near.count() <= BROADCAST_SEEDS:
+        near = F.broadcast(near)
+    joined = probed.join(near, "key44")
     order = Window.partitionBy(*READ).orderBy("is_rev", "qpos", "ref_id", "pos")
     kept = joined.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= cfg.most_per_read)
     return kept.select(*READ, "is_rev", "qpos", "ref_id", "pos", (F.col("pos") - F.col("qpos")).alias("diag"), "full")

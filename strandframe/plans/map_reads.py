@@ -54,7 +54,7 @@ class MappingSession:
         references.select("ref_id", "ref_name", "seq").write.mode("overwrite").parquet(f"{path}/references")
         self.references = self.spark.read.parquet(f"{path}/references")
         write_index(build_index(self.references, cfg=cfg), f"{path}/seeds")
-        self.index = read_index(self.spark, f"{path}/seeds")
+        self.index = read_index(self.spark, f"{path}/seeds", ranks=True)
         self.totals = {"reads": 0, "mapped": 0, "mapped_bases": 0, "seconds": 0.0}
 
     def map_to(self, reads: DataFrame, output: str, **options) -> dict[str, float]:

@@ -10,7 +10,7 @@ from strandframe.config import BASE_HASH, CONFIG, MULTIPLIER, MapperConfig
 from strandframe.functions import sequences as S
 from strandframe.operators import index as I
 from strandframe.operators import multipass as M
-from strandframe.operators.extension import extend
+from strandframe.operators.extension import extend, reference_tiles
 from strandframe.operators.pairing import first_alignments, pair_candidates, resolve_pairs
 from strandframe.operators.sam import sam_header, sam_lines, sam_rows, write_sam
 from strandframe.operators.seeding import probes, seed_hits, top_candidates
@@ -297,3 +297,34 @@ def test_session_over_batches(spark, world, tmp_path):
         append_metrics(summary, str(tmp_path / "metrics"))
     assert spark.read.option("header", True).csv(str(tmp_path / "metrics")).count() == 2
     assert run_summary(rows.limit(0), world.limit(0)).first().mean_coverage == 0
+
+
+def test_index_ranks_are_written(spark, world, tmp_path):
+    index = I.build_index(world)
+    I.write_index(index, str(tmp_path / "index"))
+    back = I.read_index(spark, str(tmp_path / "index"), ranks=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, I.ranked(index).collect()))
+    assert I.ranked(back) is back
+
+
+def test_tiles_of_references(spark):
+    refs = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "TT"), (3, ""), (4, None)], "ref_id bigint, seq string")
+    got = sorted(map(tuple, reference_tiles(refs, 4, 3).collect()))
+    assert got == [(1, 0, 10, "ACGTACG"), (1, 1, 10, "ACGTAC"), (1, 2, 10, "AC"), (2, 0, 2, "TT")]
+
+
+def test_extension_does_not_depend_on_tiles(spark, monkeypatch):
+    from strandframe.operators import extension
+
+    rng = random.Random(21)
+    long = dna(rng, 30_000)
+    at = list(range(0, 29_800, 100))
+    reads = spark.createDataFrame([(i, long[p : p + 150], None) for i, p in enumerate(at)], "read_id bigint, seq1 string, seq2 string")
+    refs = spark.createDataFrame([(7, long)], "ref_id bigint, seq string")
+    found = [(i, 1, 1, 7, False, p, 20, 3, 60) for i, p in enumerate(at)]
+    kinds = "read_id bigint, mate int, vote_rank int, ref_id bigint, is_rev boolean, diag int, votes bigint, anchor int, mapq int"
+    candidates = spark.createDataFrame(found, kinds)
+    for size in (1 << 14, 1):
+        monkeypatch.setattr(extension, "TILE", size)
+        rows = extension.extend_candidates(candidates, reads, refs).collect()
+        assert sorted((r.read_id, r.pos, r.as_score) for r in rows) == [(i, p, 300) for i, p in enumerate(at)]
