@@ -2,7 +2,9 @@
 
 Rows of (term, record, place) are range-partitioned and sorted by all three, so
 equal terms lie in one run that may go on over several partitions; a term held by
-a third of all rows is spread like any other. Each partition is scanned once in
+a third of all rows is spread like any other. The bounds come from a sample whose size
+follows the number of partitions; one pass over the rows drops copies within a batch and
+numbers the partition of each row. Each partition is scanned once in
 Arrow batches with constant state. Runs within a partition are final; only the
 first and the last run of each partition are put together afterwards.
 """
@@ -16,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.runtime import cut
+
 #: Rows that one task sorts; the number of partitions follows from the number of rows.
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_TASK = 500_000
+#: Rows of the sample that bounds are taken from, for each partition.
+SAMPLE = 30
 
 _RUNS = "term bigint, occurrences bigint, records bigint, first_record bigint, last_record bigint, edge boolean, part int"
 
@@ -26,17 +32,42 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
 
 
-def drop_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep one row of equal (term, record, place) in a batch, with the largest weight."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        term, record, place, weight = _columns(batch)
-        order = np.lexsort((weight, place, record, term))
-        t, r, p = term[order], record[order], place[order]
-        last = np.ones(len(t), dtype=bool)
-        last[:-1] = (t[1:] != t[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-        yield batch.take(pa.array(order[last]))
+def ranged(bounds: list[np.ndarray]):
+    """Task function: one row of equal (term, record, place) in a batch, with the largest weight, and the number of its partition.
+
+    A partition begins at its bound; ``bounds`` holds their terms, records and places in ascending order.
+    """
+
+    def number(term, record, place):
+        low, high = (np.searchsorted(bounds[0], term, side=x) for x in ("left", "right"))
+        tied = np.flatnonzero(low < high)  # the term is that of bounds: record and place decide
+        if len(tied):
+            near = np.flatnonzero(np.isin(bounds[0], term[tied]))
+            t, r, p = (np.concatenate([b[near], c[tied]]) for b, c in zip(bounds, (term, record, place)))
+            later = np.arange(len(t)) >= len(near)
+            order = np.lexsort((later, p, r, t))
+            passed = np.empty(len(t), dtype=np.int64)
+            passed[order] = np.cumsum(~later[order])
+            at = passed[len(near) :]
+            low[tied] = np.where(at > 0, near[np.maximum(at, 1) - 1] + 1, low[tied])
+            low[tied] = np.maximum(low[tied], np.searchsorted(bounds[0], term[tied], side="left"))
+        return low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            term, record, place, weight = _columns(batch)
+            order = np.lexsort((weight, place, record, term))
+            t, r, p = term[order], record[order], place[order]
+            last = np.ones(len(t), dtype=bool)
+            last[:-1] = (t[1:] != t[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1])
+            kept = [t[last], r[last], p[last]]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, kept), pa.array(weight[order][last]), pa.array(number(*kept).astype(np.int32))], names=["term", "record", "place", "weight", "range"]
+            )
+
+    return run
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,23 +145,31 @@ def term_statistics(
     pairs = pairs.select(F.col(term).cast("bigint").alias("term"), at(record).alias("record"), at(place).alias("place"), heavy.alias("weight"))
     rows = pairs.count()
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_task))
-    runs = (
-        pairs.mapInArrow(drop_copies, pairs.schema)
-        .repartitionByRange(tasks, "term", "record", "place")
+    sample = pairs.sample(min(1.0, SAMPLE * tasks / max(rows, 1)), seed=1).select("term", "record", "place").toArrow()
+    cols = [sample[i].to_numpy() for i in range(3)]
+    order = np.lexsort(cols[::-1])
+    picked = order[(np.arange(1, tasks) * len(order)) // tasks] if len(order) else order
+    bounds = [c[picked] for c in cols]
+    runs = cut(
+        pairs.mapInArrow(ranged(bounds), "term bigint, record bigint, place bigint, weight bigint, range int")
+        .repartitionById(tasks, F.col("range"))
         .sortWithinPartitions("term", "record", "place", "weight")
+        .drop("range")
         .mapInArrow(scan_runs, _RUNS)
     )
     # A record that ends one partition and begins the next is one record.
-    parts = F.array_sort(F.collect_list(F.when(F.col("edge"), F.struct("part", "first_record", "last_record"))))
-    inner = F.filter(
+    parts = F.array_sort(F.collect_list(F.struct("part", "first_record", "last_record")))
+    same = F.filter(
         F.transform("__parts", lambda x, i: (i > 0) & (x["first_record"] == F.get(F.col("__parts"), i - 1)["last_record"])),
         lambda same: same,
     )
-    return (
-        runs.groupBy("term")
+    edges = (
+        runs.filter("edge")
+        .groupBy("term")
         .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("__records"), parts.alias("__parts"))
-        .select("term", "occurrences", (F.col("__records") - F.size(inner)).alias("records"))
+        .select("term", "occurrences", (F.col("__records") - F.size(same)).alias("records"))
     )
+    return runs.filter("not edge").select("term", "occurrences", "records").unionByName(edges)
 
 
 def marked(stats: DataFrame, common_above: int) -> DataFrame:
