@@ -76,6 +76,7 @@ def estimated_reads(size: Column, gzipped: Column) -> Column:
 
 
 def is_nuclear(name: Column) -> Column:
-    """Whether a reference is neither an organelle nor an unplaced piece."""
+    """Whether a reference is neither an organelle (a word of its name is ct, pt or mt) nor an unplaced piece."""
     low = F.lower(name)
-    return ~(low.rlike(r"(^|[^a-z])(ct|pt|mt|chrc|chrm)([^a-z]|$)") | low.contains("scaffold") | low.contains("contig"))
+    organelle = F.arrays_overlap(F.split(low, "[^a-z]+"), F.array(F.lit("ct"), F.lit("pt"), F.lit("mt")))
+    return ~(organelle | low.contains("scaffold") | low.contains("contig"))

@@ -30,13 +30,20 @@ def seq_base_code(spark, d):
     return letters.groupBy("ref_id", "c").agg(F.count("*").alias("k")).groupBy("ref_id", S.base_code(F.col("c")).alias("code")).agg(F.sum("k").alias("n"))
 
 
+def _both_mates(spark, d):
+    """``read_id, mate, seq, qual`` of both mates of all reads, missing ones included."""
+    sides = F.array(*[F.struct(F.lit(m).alias("mate"), F.col(f"seq{m}").alias("seq"), F.col(f"qual{m}").alias("qual")) for m in (1, 2)])
+    return V.reads(spark, d).select("read_id", F.inline(sides))
+
+
 def seq_revcomp(spark, d):
-    return V.reads(spark, d).select("read_id", S.reverse_complement_upper(F.col("seq1")).alias("for_seeds"), S.reverse_complement(F.col("seq1")).alias("for_output"))
+    seq = F.col("seq")
+    return _both_mates(spark, d).select("read_id", "mate", S.reverse_complement_upper(seq).alias("for_seeds"), S.reverse_complement(seq).alias("for_output"))
 
 
 def seq_orient(spark, d):
-    seq, qual = S.oriented(F.col("seq1"), F.col("qual1"), F.col("read_id") % 2 == 1)
-    return V.reads(spark, d).select("read_id", seq.alias("seq"), qual.alias("qual"))
+    seq, qual = S.oriented(F.col("seq"), F.col("qual"), (F.col("read_id") + F.col("mate")) % 2 == 0)
+    return _both_mates(spark, d).select("read_id", "mate", seq.alias("seq"), qual.alias("qual"))
 
 
 def name_normalize(spark, d):
@@ -164,18 +171,20 @@ QUERIES = {
     )
 }
 
+_BOTH = "two as (select read_id, 1 mate, seq1 s, qual1 q from reads union all select read_id, 2, seq2, qual2 from reads)"
+
 SQL = {
     "seq_base_code": f"""with {V.REFS}, l as (select ref_id, upper(unnest(string_split(seq, ''))) c from refs where length(seq) > 0)
         select ref_id, nullif(instr('ACGT', c) - 1, -1)::int code, count(*) n from l group by 1, 2""",
-    "seq_revcomp": f"""with {V.READS} select read_id,
-        regexp_replace(translate(reverse(seq1), 'ACGTacgt', 'TGCATGCA'), '[^ACGT]', 'N', 'g') for_seeds,
-        regexp_replace(translate(reverse(seq1), 'ACGTacgt', 'TGCAtgca'), '[^ACGTacgt]', 'N', 'g') for_output from reads""",
-    "seq_orient": f"""with {V.READS} select read_id,
-        case read_id % 2 when 1 then regexp_replace(translate(reverse(seq1), 'ACGTacgt', 'TGCAtgca'), '[^ACGTacgt]', 'N', 'g') else seq1 end seq,
-        case read_id % 2 when 1 then reverse(qual1) else qual1 end qual from reads""",
+    "seq_revcomp": f"""with {V.READS}, {_BOTH} select read_id, mate,
+        regexp_replace(translate(reverse(s), 'ACGTacgt', 'TGCATGCA'), '[^ACGT]', 'N', 'g') for_seeds,
+        regexp_replace(translate(reverse(s), 'ACGTacgt', 'TGCAtgca'), '[^ACGTacgt]', 'N', 'g') for_output from two""",
+    "seq_orient": f"""with {V.READS}, {_BOTH} select read_id, mate,
+        case (read_id + mate) % 2 when 0 then regexp_replace(translate(reverse(s), 'ACGTacgt', 'TGCAtgca'), '[^ACGTacgt]', 'N', 'g') else s end seq,
+        case (read_id + mate) % 2 when 0 then reverse(q) else q end qual from two""",
     "name_normalize": f"with {V.REFS}, {V.READS} select 'ref' kind, ref_id id, ref_name as name from refs union all select 'read', read_id, name from reads",
     "nuclear_references": f"""with {V.REFS} select ref_id, ref_name from refs where not (
-        regexp_matches(lower(ref_name), '(^|[^a-z])(ct|pt|mt|chrc|chrm)([^a-z]|$)') or contains(lower(ref_name), 'scaffold') or contains(lower(ref_name), 'contig'))""",
+        list_has_any(regexp_extract_all(lower(ref_name), '[a-z]+'), ['ct', 'pt', 'mt']) or lower(ref_name) like '%scaffold%' or lower(ref_name) like '%contig%')""",
     "read_estimate": """with s as (select file_name, coalesce(sum(strlen(raw_line) + 1), 0) size from raw_reads group by 1)
         select file_name, floor(size / 400)::bigint plain, floor(size * 3.5 / 400)::bigint gzipped from s""",
     "syncmers": f"with {V.REFS}, {V.ROTATIONS}, {V.syncmers_sql('raw', 'refs', 'ref_id')} select * from raw",

@@ -134,9 +134,9 @@ def sample_scaling(spark, d):
 
 
 def not_done(spark, d):
-    """Number of seeds of each index without a row of negative key in seed_counts; such rows stand for finished work."""
-    work = table(spark, d, "seeds").filter("index_id is not null").groupBy("index_id").agg(F.count("*").alias("seeds"))
-    return E.not_done(work, table(spark, d, "seed_counts").filter("key44 < 0"), ["index_id"])
+    """References of which no seed has been loaded yet, with their lengths."""
+    work = table(spark, d, "ref_seqs").select("ref_id", "index_id", F.length("ref_seq").alias("length"))
+    return E.not_done(work, table(spark, d, "seeds").filter("key44 >= 0"), ["ref_id"])
 
 
 def eval_grid(spark, d):
@@ -304,8 +304,8 @@ SQL = {
     "sample_scaling": """with s as (select batch_id, count(*) reads from read_batch group by 1), k as (select *, row_number() over (order by batch_id) k from s),
         n as (select unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) n)
         select n, sum(reads)::bigint total from n join k on k <= n where n <= (select count(*) from s) group by 1""",
-    "not_done": """select index_id, count(*) seeds from seeds where index_id is not null
-        and not exists (select 1 from seed_counts c where c.key44 < 0 and c.index_id = seeds.index_id) group by 1""",
+    "not_done": """select ref_id, index_id, length(ref_seq)::int length from ref_seqs
+        where not exists (select 1 from seeds s where s.key44 >= 0 and s.ref_id = ref_seqs.ref_id)""",
     "eval_grid": """select coverage, mutation, tool, (select count(*) from documents where lang = tool) documents
         from (values (1), (3)) c(coverage), (values (0.001::double), (0.01::double)) m(mutation), (values ('en'), ('fr'), ('de'), ('es')) t(tool)""",
     "venn3_counts": _VARIANTS

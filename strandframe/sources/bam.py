@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import re
 import struct
@@ -44,10 +45,15 @@ def record(row, ids: dict[str, int]) -> bytes:
     codes = [max(0, BASES.find(c)) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
     packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
     qual = bytes(ord(c) - 33 for c in row.qual) if row.qual and row.qual != "*" and len(row.qual) == len(seq) else b"\xff" * len(seq)
-    name = row.qname.encode()[:254] + b"\0"
+    name = row.qname.encode() + b"\0"
+    if len(name) > 255:
+        raise ValueError(f"a name of {len(name) - 1} bytes doesn't fit the format: {row.qname[:40]!r}...")
     tags = b"".join(tag + b"i" + struct.pack("<i", v) for tag, v in ((b"NM", row.nm), (b"AS", row.as_score)) if v is not None)
     if row.rg is not None:
         tags += b"RGZ" + row.rg.encode() + b"\0"
+    if len(cigar) > 0xFFFF:  # too many for their field: they go to a tag, and two operations of the same lengths stand in for them
+        tags += b"CGBI" + struct.pack("<i", len(cigar)) + b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar)
+        cigar = [(len(seq), OPS.index("S")), (span, OPS.index("N"))]
     head = struct.pack("<iiBBHHHiiii", ref, pos, len(name), row.mapq, bin_of(max(pos, 0), max(pos, 0) + span), len(cigar), row.flag, len(seq), other, row.pnext - 1, row.tlen)
     body = head + name + b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar) + packed + qual + tags
     return struct.pack("<i", len(body)) + body
@@ -59,8 +65,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, folder: str, header: str, names: list[str], sizes: list[int]):
-        self.folder, self.header, self.names, self.sizes = folder, header, names, sizes
+    def __init__(self, folder: str, header: str, names: list[str], sizes: list[int], overwrite: bool):
+        self.folder, self.header, self.names, self.sizes, self.overwrite = folder, header, names, sizes, overwrite
 
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
@@ -87,6 +93,9 @@ class _Writer(DataSourceWriter):
         return _Written(temporary)
 
     def commit(self, messages) -> None:
+        if self.overwrite:  # files of an earlier write with more tasks
+            for old in glob.glob(os.path.join(glob.escape(self.folder), "part-*.bam")):
+                os.remove(old)
         for m in messages:
             os.replace(m.path, m.path.rsplit(".", 1)[0])
 
@@ -105,11 +114,11 @@ class BamSink(DataSource):
 
     def writer(self, schema, overwrite):
         o = self.options
-        return _Writer(o["path"], o["header"], o["names"].split("\t") if o["names"] else [], [int(x) for x in o["lengths"].split("\t") if x])
+        return _Writer(o["path"], o["header"], o["names"].split("\t") if o["names"] else [], [int(x) for x in o["lengths"].split("\t") if x], overwrite)
 
 
 def write_bam(rows: DataFrame, references: DataFrame, path: str, sort_order: str = "unsorted") -> None:
-    """Write SAM rows below a folder that all executors share.
+    """Write SAM rows below a folder that all executors share, in place of BAM files that are there.
 
     Every file repeats the header, as the format wants it, so references must be few
     enough for one (their names are collected: a header is one block of text by design).
@@ -122,4 +131,4 @@ def write_bam(rows: DataFrame, references: DataFrame, path: str, sort_order: str
     fields = [dict(f.split(":", 1) for f in x.split("\t")[1:]) for x in lines if x.startswith("@SQ")]
     out = rows.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "nm", "as_score", "rg")
     options = {"path": path, "header": "\n".join(lines) + "\n", "names": "\t".join(f["SN"] for f in fields), "lengths": "\t".join(f["LN"] for f in fields)}
-    out.write.format("bam").options(**options).mode("append").save()
+    out.write.format("bam").options(**options).mode("overwrite").save()

@@ -166,7 +166,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     text = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     number = {"flag", "pos", "mapq", "pnext", "tlen"}
     cols = [F.get(f, F.lit(i)).cast("int" if c in number else "string").alias(c) for i, c in enumerate(text)]
-    tags = F.slice(f, 12, 1000)
+    tags = F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0)))
     return lines.filter(F.size(f) >= 11).select(*cols, tag_value(tags, "NM").alias("nm"), tag_value(tags, "AS").alias("as_score"))
 
 
