@@ -23,6 +23,7 @@ a broadcast of all shards would grow with the data, and so would the passes over
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _CODE[_b + 32] = _i
 _LETTER = np.frombuffer(b"ACGTN", dtype=np.uint8)
+_NO_MOVES = array("i", [-1] * 4)
 
 
 def _words(codes: np.ndarray, size: int) -> np.ndarray:
@@ -178,7 +180,7 @@ class Automaton:
     """
 
     def __init__(self):
-        self.next = [[-1] * 4]
+        self.next = array("i", _NO_MOVES)  # four for each state
         self.link = [-1]
         self.length = [0]
         self.least = [2**63 - 1]
@@ -187,15 +189,15 @@ class Automaton:
     def _split(self, p, c, q):
         """A state for the words of q that are no longer than those of p followed by c."""
         nxt, link = self.next, self.link
-        nxt.append(list(nxt[q]))
+        nxt.extend(nxt[4 * q : 4 * q + 4])
         self.length.append(self.length[p] + 1)
         self.least.append(2**63 - 1)
         self.most.append(-(2**63))
         r = len(link)
         link.append(link[q])
         link[q] = r
-        while p >= 0 and nxt[p][c] == q:
-            nxt[p][c] = r
+        while p >= 0 and nxt[4 * p + c] == q:
+            nxt[4 * p + c] = r
             p = link[p]
         return r
 
@@ -204,33 +206,37 @@ class Automaton:
         nxt, link, length, low, high = self.next, self.link, self.length, self.least, self.most
         last = 0
         for c in word:
-            q = nxt[last][c]
+            at = 4 * last + c
+            q = nxt[at]
             if q >= 0:
                 last = q if length[q] == length[last] + 1 else self._split(last, c, q)
                 if least < low[last]:
                     low[last] = least
                 if most > high[last]:
                     high[last] = most
-            else:
-                new = len(link)
-                nxt.append([-1, -1, -1, -1])
-                length.append(length[last] + 1)
-                low.append(least)
-                high.append(most)
-                link.append(0)
-                p = last
-                while p >= 0 and nxt[p][c] < 0:
-                    nxt[p][c] = new
-                    p = link[p]
-                if p >= 0:
-                    q = nxt[p][c]
+                continue
+            new = len(link)
+            nxt.extend(_NO_MOVES)
+            nxt[at] = new
+            length.append(length[last] + 1)
+            low.append(least)
+            high.append(most)
+            link.append(0)
+            p = link[last]
+            while p >= 0:
+                at = 4 * p + c
+                q = nxt[at]
+                if q >= 0:
                     link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
-                last = new
+                    break
+                nxt[at] = new
+                p = link[p]
+            last = new
 
     def close(self) -> None:
         """Hands owners on to the suffixes, and finds for each state of one owner its longest suffix of several."""
         n = len(self.link)  # one more state, before the root: every letter leads from it to the root
-        self.next = np.concatenate([np.array(self.next, dtype=np.int32).ravel(), np.zeros(4, dtype=np.int32)])
+        self.next = np.concatenate([np.frombuffer(self.next, dtype=np.int32), np.zeros(4, dtype=np.int32)])
         self.link = np.array([*self.link, n], dtype=np.int32)
         self.link[0] = n
         self.length = np.array([*self.length, -1], dtype=np.int32)
