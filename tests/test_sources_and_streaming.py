@@ -133,3 +133,57 @@ def test_sql_functions(spark):
     got = spark.sql("select id, key44, pos from some, lateral syncmers(seq)").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, explode_syncmers(df, ["id"], "seq").collect()))
     assert tuple(spark.sql("select reverse_complement('ACgtR'), cigar_span('3S10M2I4D')").first()) == ("NacGT", 14)
+
+
+def test_ranges_of_plain_files(spark, tmp_path):
+    rng = random.Random(8)
+    quality = lambda n: "".join(rng.choice("@+I>") for _ in range(n))
+    want = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    put(tmp_path / "a.fq", "".join(f"@{n} x\n{s}\n+\n{quality(len(s))}\n" for n, s in want))
+    put(tmp_path / "b.fa", "".join(f">{n}\n{s[:3]}\n{s[3:]}\n" for n, s in want))
+    X.register(spark)
+    for name in ("a.fq", "b.fa"):
+        for split in (7, 64, 1 << 20):
+            rows = spark.read.format("fastx").option("path", str(tmp_path / name)).option("split", split).load()
+            assert [(r.name, r.seq) for r in rows.orderBy("place").collect()] == want
+            assert split > 64 or rows.rdd.getNumPartitions() > 20
+    with gzip.open(tmp_path / "c.fq.gz", "wt") as out:
+        out.write((tmp_path / "a.fq").read_text())
+    rows = spark.read.format("fastx").option("path", f"file://{tmp_path}/c.fq.gz").option("split", 7).load()
+    assert rows.rdd.getNumPartitions() == 1 and [(r.name, r.seq) for r in rows.orderBy("place").collect()] == want
+
+
+def test_stream_of_fastq_files(spark, tmp_path):
+    from strandframe.streaming.mapping import map_fastq_stream, totals
+
+    rng = random.Random(3)
+    ref = "".join(rng.choice("ACGT") for _ in range(3000))
+    refs = spark.createDataFrame([(1, "chr", ref)], "ref_id bigint, ref_name string, seq string")
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        at = [rng.randrange(2600) for _ in range(10)]
+        for m in (2, 1):
+            texts = [ref[p : p + 100] if m == 1 else turned(ref[p + 200 : p + 300]) for p in at]
+            put(tmp_path / "in" / f"s{k}_{m}.fq", "".join(f"@r{i}_{k}/{m}\n{t}\n+\n{'I' * 100}\n" for i, t in enumerate(texts)))
+        query = map_fastq_stream(spark, str(tmp_path / "in"), build_index(refs), refs, str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+        assert [(r.reads, r.mapped) for r in totals(spark, str(tmp_path / "out")).collect()] == [(20, 20)] * (k + 1)
+
+
+def test_bam_files_are_replaced_and_limits(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from strandframe.sources.bam import record, write_bam
+
+    row = dict(qname="q", flag=0, rname="chr", pos=1, mapq=9, cigar="4M", rnext="*", pnext=0, tlen=0, seq="ACGT", qual="IIII", nm=0, as_score=8, rg="sf")
+    refs = spark.createDataFrame([(1, "chr", "ACGT")], "ref_id bigint, ref_name string, seq string")
+    kinds = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, nm int, as_score int, rg string"
+    rows = spark.createDataFrame([tuple(row.values())] * 8, kinds).repartition(4)
+    for tasks in (4, 1):
+        write_bam(rows.coalesce(tasks), refs, str(tmp_path / "bam"))
+        assert len(list((tmp_path / "bam").iterdir())) == tasks
+    with pytest.raises(ValueError, match="name"):
+        record(SimpleNamespace(**row | {"qname": "x" * 300}), {"chr": 0})
+    many = record(SimpleNamespace(**row | {"cigar": "1M1I" * 40_000, "seq": "A" * 80_000, "qual": "*"}), {"chr": 0})
+    assert b"CGBI" + (80_000).to_bytes(4, "little") in many
