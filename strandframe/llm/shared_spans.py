@@ -45,6 +45,9 @@ PART = 4096
 MOST_BITS = 1 << 27
 #: Letters that are looked at in one go.
 CHUNK = 1 << 20
+#: Letters of a stretch, at most: places in what is looked at in one go have a fixed number of bits.
+MOST_LEN = 1 << 22
+_PLACE = np.uint64((1 << 24) - 1)
 #: Regions that are streamed side by side.
 LANES = 8192
 
@@ -75,7 +78,7 @@ def _mixed(words: np.ndarray) -> np.ndarray:
 
 
 def anchors_of(codes: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scrambled words of the smallest anchor of each stretch of ``min_len`` plain letters (the leftmost among equal ones)."""
+    """Places and scrambled words of the smallest anchor of each stretch of ``min_len`` plain letters."""
     size = min(ANCHOR, min_len)
     reach = min_len - size + 1
     n = len(codes) - min_len + 1
@@ -83,16 +86,17 @@ def anchors_of(codes: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     bad = np.concatenate(([0], np.cumsum(codes > 3)))
     plain = np.flatnonzero(bad[min_len:] == bad[:-min_len])
-    rank = _mixed(_words(codes, size))
-    best = np.arange(len(codes) - size + 1)
+    rank = _mixed(_words(codes, size))[: len(codes) - size + 1]
+    # The upper bits of the rank, then the place: the least is the leftmost of those that the upper bits don't tell apart.
+    best = rank & ~_PLACE | np.arange(len(rank), dtype=np.uint64)
     span = 1
     while span < reach:  # doubles the reach of the minimum; the last step overlaps
         step = min(span, reach - span)
-        a, b = best[:-step], best[step:]
-        best = np.where(rank[a] <= rank[b], a, b)
+        best = np.minimum(best[:-step], best[step:])
         span += step
     picked = best[plain]
-    at = picked[np.append(True, picked[1:] != picked[:-1])] if len(picked) else picked
+    picked = picked[np.append(True, picked[1:] != picked[:-1])] if len(picked) else picked
+    at = (picked & _PLACE).astype(np.int64)
     return at, rank[at].view(np.int64)
 
 
@@ -362,14 +366,14 @@ def _bitmap(shared: DataFrame):
 def shared_spans(df: DataFrame, record: str, text: str, min_len: int = 64, shard: int = SHARD) -> DataFrame:
     """``ref_id``, ``span_start``, ``span_end``: the longest runs of shared letters of each record.
 
-    A letter is shared if it lies in a stretch of at least ``min_len`` (1 or more) of
+    A letter is shared if it lies in a stretch of at least ``min_len`` (1 to ``MOST_LEN``) of
     A, C, G, T in either case that also stands in another record, on the same strand.
     Start is 0-based, end exclusive; runs that touch are one. Rows with the same
     record id are the same record; null ids, null and short texts have no spans. An
     empty table gives an empty result. Other columns are left out.
     """
-    if min_len < 1:
-        raise ValueError("min_len must be at least 1")
+    if not 1 <= min_len <= MOST_LEN:
+        raise ValueError(f"min_len must lie in 1 to {MOST_LEN}")
     spark = df.sparkSession
     rows = df.filter(F.col(record).isNotNull() & (F.length(text) >= min_len)).select(F.col(record).cast("bigint").alias("ref_id"), F.col(text).alias("text"))
     words = rows.mapInArrow(_words_of(min_len), "word bigint, ref_id bigint, part int")
