@@ -61,10 +61,14 @@ class TopicSettings:
     stray: float = 0.1  #: share of the words of a sentence of a topic that come from the shared one
 
 
+def _pieces(text: Column) -> Column:
+    plain = F.regexp_replace(text, r"<[^<>]{1,200}>|&[A-Za-z]{2,8};|https?://\S+", " ")
+    return F.split(plain, r"(?<=[.!?])(?:\s*[\"'”“»’)\]]+)?\s+")
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a text: they end with . ! or ?, closing marks and white space; pieces without a letter are none."""
-    plain = F.regexp_replace(text, r"<[^<>]{1,200}>|&[A-Za-z]{2,8};|https?://\S+", " ")
-    return F.filter(F.split(plain, r"(?<=[.!?])(?:\s*[\"'”“»’)\]]+)?\s+"), lambda s: s.rlike(r"\p{L}"))
+    return F.filter(_pieces(text), lambda s: s.rlike(r"\p{L}"))
 
 
 def terms(text: Column) -> Column:
@@ -72,6 +76,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}[\p{L}\p{M}]*)"), F.lit(1))
 
 
+def worded(text: Column) -> Column:
+    """Words of each sentence of a text; a piece has a word just if it has a letter."""
+    return F.filter(F.transform(_pieces(text), terms), lambda s: F.size(s) > 0)
+
+
 def exp_digamma(x: np.ndarray) -> np.ndarray:
     """exp of the derivative of the log gamma function, for positive values (within 0.1 %)."""
     y = x + 1.5
@@ -456,14 +465,13 @@ def assign_subjects(
     an empty result. Other columns are left out. Terms of a single text, which tie it to no other, aren't in the model.
     """
     spark = documents.sparkSession
-    worded = lambda c: F.transform(sentences(F.col(c)), terms)
-    shown = examples.filter(F.col(example_subject).isNotNull()).select(F.col(example_subject).alias("subject"), worded(example_text).alias("s")).filter(F.size("s") > 0)
+    shown = examples.filter(F.col(example_subject).isNotNull()).select(F.col(example_subject).alias("subject"), worded(F.col(example_text)).alias("s")).filter(F.size("s") > 0)
     subjects = sorted(r["subject"] for r in shown.select("subject").distinct().collect())
     if not subjects:
         return spark.createDataFrame([], "doc_id bigint, subject string")
     label = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1
     # Written once, as the words are read for the vocabulary and again for the units.
-    rows = documents.select(F.col(item).cast("bigint").alias("item"), F.lit(-1).alias("label"), worded(text).alias("s")).filter(F.size("s") > 0)
+    rows = documents.select(F.col(item).cast("bigint").alias("item"), F.lit(-1).alias("label"), worded(F.col(text)).alias("s")).filter(F.size("s") > 0)
     labelled = shown.select(F.lit(None).cast("bigint").alias("item"), label.alias("label"), "s")
     rows = cut(rows.unionByName(labelled).withColumn("unit", F.monotonically_increasing_id()))
     # The vocabulary, commonest first, ties by the term; with it, how many examples of each subject have a term.
