@@ -36,10 +36,14 @@ def map_reads(
     return coordinate_sorted(rows) if sort else rows
 
 
-def map_reads_in_passes(reads: DataFrame, references: DataFrame, letters: int, cfg: MapperConfig = CONFIG) -> DataFrame:
-    """SAM rows with references taken in passes of about ``letters`` letters; the first pass that maps a mate wins."""
-    found = map_in_passes(reads, references, letters, lambda r, refs: align(r, build_index(refs, cfg=cfg), refs, cfg))
-    return sam_rows(reads, first_alignments(found.drop("ref_pass")), references, "plain", cfg)
+def map_reads_in_passes(
+    reads: DataFrame, references: DataFrame, letters: int, pairing: str = "none", style: str = "plain", sort: bool = False, cfg: MapperConfig = CONFIG
+) -> DataFrame:
+    """SAM rows with references taken in passes of about ``letters`` letters; the first pass that maps a mate wins. Options as in ``map_reads``."""
+    found = map_in_passes(reads, references, letters, lambda r, refs: align(r, build_index(refs, cfg=cfg), refs, cfg)).drop("ref_pass")
+    resolved = resolve_pairs(found, cfg) if pairing == "best" else first_alignments(found)
+    rows = sam_rows(reads, resolved, references, style, cfg)
+    return coordinate_sorted(rows) if sort else rows
 
 
 class MappingSession:
@@ -55,20 +59,22 @@ class MappingSession:
         self.references = self.spark.read.parquet(f"{path}/references")
         write_index(build_index(self.references, cfg=cfg), f"{path}/seeds")
         self.index = read_index(self.spark, f"{path}/seeds", ranks=True)
-        self.totals = {"reads": 0, "mapped": 0, "mapped_bases": 0, "seconds": 0.0}
+        self.totals = {"reads": 0, "mapped": 0, "bases": 0, "mapped_bases": 0, "seconds": 0.0}
 
     def map_to(self, reads: DataFrame, output: str, **options) -> dict[str, float]:
-        """Map a batch, write its SAM rows as Parquet, and return the totals so far with reads per second.
+        """Map a batch, write its SAM rows as Parquet, and return the totals so far with reads and megabases per second.
 
         The counts are observed while the rows are written; nothing is read again.
         """
         seen, began = Observation(), time.monotonic()
         mapped = F.col("flag").bitwiseAND(4) == 0
         rows = map_reads(reads, self.index, self.references, cfg=self.cfg, **options).observe(
-            seen, F.count("*").alias("reads"), F.count_if(mapped).alias("mapped"), F.coalesce(F.sum(F.when(mapped, F.length("seq"))), F.lit(0)).alias("mapped_bases")
+            seen, F.count("*").alias("reads"), F.count_if(mapped).alias("mapped"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"),
+            F.coalesce(F.sum(F.when(mapped, F.length("seq"))), F.lit(0)).alias("mapped_bases"),
         )
         rows.write.mode("append").parquet(output)
         for name, value in seen.get.items():
             self.totals[name] += value
         self.totals["seconds"] += time.monotonic() - began
-        return self.totals | {"reads_per_second": self.totals["reads"] / max(self.totals["seconds"], 1e-9)}
+        seconds = max(self.totals["seconds"], 1e-9)
+        return self.totals | {"reads_per_second": self.totals["reads"] / seconds, "megabases_per_second": self.totals["bases"] / 1e6 / seconds}

@@ -266,15 +266,15 @@ def read_pairs(spark: SparkSession, first: str, second: str, uneven: str = "rais
     return spark.read.format("fastx").option("path1", first).option("path2", second).option("uneven", uneven).load()
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of SAM text files: the eleven columns, ``nm`` and ``as_score``; header lines are left out."""
+def read_sam(spark: SparkSession, path: str, *more) -> DataFrame:
+    """Records of SAM text files: the eleven columns, ``nm`` and ``as_score``, and ``more`` columns of the text scan; header lines are left out."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("@"))
     f = F.split("value", "\t")
     text = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     number = {"flag", "pos", "mapq", "pnext", "tlen"}
     cols = [F.get(f, F.lit(i)).cast("int" if c in number else "string").alias(c) for i, c in enumerate(text)]
     tags = F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0)))
-    return lines.filter(F.size(f) >= 11).select(*cols, tag_value(tags, "NM").alias("nm"), tag_value(tags, "AS").alias("as_score"))
+    return lines.filter(F.size(f) >= 11).select(*cols, tag_value(tags, "NM").alias("nm"), tag_value(tags, "AS").alias("as_score"), *more)
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:

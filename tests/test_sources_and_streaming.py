@@ -187,3 +187,26 @@ def test_bam_files_are_replaced_and_limits(spark, tmp_path):
         record(SimpleNamespace(**row | {"qname": "x" * 300}), {"chr": 0})
     many = record(SimpleNamespace(**row | {"cigar": "1M1I" * 40_000, "seq": "A" * 80_000, "qual": "*"}), {"chr": 0})
     assert b"CGBI" + (80_000).to_bytes(4, "little") in many
+
+
+def test_passes_and_evaluation_from_the_command_line(spark, tmp_path):
+    from strandframe.__main__ import main
+
+    rng = random.Random(12)
+    refs = {f"chr{k}": "".join(rng.choice("ACGT") for _ in range(1500)) for k in range(3)}
+    put(tmp_path / "refs.fa", "".join(f">{n}\n{s}\n" for n, s in refs.items()))
+    reads = ""
+    for i in range(30):
+        name, p = f"chr{i % 3}", rng.randrange(1350)
+        reads += f"@{name}_{p + 1}_{p + 1}_0_1_{i}\n{refs[name][p : p + 120]}\n+\n{'I' * 120}\n"
+    put(tmp_path / "reads.fq", reads)
+    at = lambda x: str(tmp_path / x)
+    main(["build", at("refs.fa"), at("index")], spark)
+    main(["map", at("index"), "-1", at("reads.fq"), "-o", at("one"), "--sort"], spark)
+    main(["map", at("index"), "-1", at("reads.fq"), "-o", at("passes"), "--sort", "--pass-letters", "1500"], spark)
+    lines = [[r.value for r in spark.read.text(at(f"{x}/body")).collect()] for x in ("one", "passes")]
+    place = lambda line: line.split("\t")[:4]
+    assert len(lines[0]) == 30 and list(map(place, lines[0])) == list(map(place, lines[1]))
+    main(["evaluate", f"a={at('one/body')}", f"b={at('passes/body')}", "-o", at("metrics")], spark)
+    rows = spark.read.option("header", True).csv(at("metrics")).collect()
+    assert {(r.tool, r.tp, r.fp) for r in rows} == {("a", "30", "0"), ("b", "30", "0")}
