@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Pieces that are gathered before they are put aside.
+GROUP = 256
+
+
 def boundary_pattern(step: int, strong: int = 10, weak: int = 3, letter: str = "[Nn]") -> str:
     """Expression that consumes the next core of at most ``step`` letters.
 
@@ -41,15 +45,20 @@ def is_forced(text: Column, pattern: str) -> Column:
 def pieces_of(cores: Column, overlap: int) -> Column:
     """Array of (start, end, piece) from the cores; start and end are 0-based letters of the item, end exclusive."""
     empty = F.array().cast("array<struct<start:bigint,end:bigint,piece:string>>")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), empty.alias("out"))
+    none = F.array().cast("array<array<struct<start:bigint,end:bigint,piece:string>>>")
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), empty.alias("last"), none.alias("done"))
 
     def add(s, core):
         end = s["at"] + F.length(core)
         both = F.concat(s["tail"], core)
         row = F.struct((s["at"] - F.length(s["tail"])).alias("start"), end.alias("end"), both.alias("piece"))
-        return F.struct(end.alias("at"), F.right(both, F.lit(overlap)).alias("tail"), F.array_append(s["out"], row).alias("out"))
+        # An array is copied when it grows; full ones are put aside, so the pieces of a long item aren't copied at each step.
+        full = F.size(s["last"]) >= GROUP
+        last = F.when(full, F.array(row)).otherwise(F.array_append(s["last"], row))
+        done = F.when(full, F.array_append(s["done"], s["last"])).otherwise(s["done"])
+        return F.struct(end.alias("at"), F.right(both, F.lit(overlap)).alias("tail"), last.alias("last"), done.alias("done"))
 
-    return F.aggregate(cores, state, add, lambda s: s["out"])
+    return F.aggregate(cores, state, add, lambda s: F.flatten(F.array_append(s["done"], s["last"])))
 
 
 def split_oversized(

@@ -49,3 +49,11 @@ def test_pieces(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, text string")
     assert split_oversized(df, "text", 10, 2, keep=["id"]).count() == 0
+
+
+def test_item_of_many_pieces(spark):
+    df = spark.range(1).selectExpr("repeat('ACGTTGCA', 1500) t")
+    pieces = split_oversized(df, "t", 12, 4).first().pieces
+    text = "ACGTTGCA" * 1500
+    assert [(p.start, p.end) for p in pieces[:2]] == [(0, 8), (4, 16)] and len(pieces) == 1500
+    assert all(p.piece == text[p.start : p.end] for p in pieces) and pieces[-1].end == len(text)
