@@ -49,7 +49,7 @@ def rows(seed):
     return out + [(7, out[7][1])]
 
 
-@pytest.mark.parametrize("seed,shard,n", [(1, 1 << 18, 64), (2, 2000, 64), (3, 1000, 50), (4, 2000, 100), (5, 2000, 20), (6, 500, 24)])
+@pytest.mark.parametrize("seed,shard,n", [(1, 1 << 18, 64), (2, 2000, 64), (3, 1000, 50), (4, 2000, 100), (5, 2000, 20), (6, 500, 24), (7, 250, 64)])
 def test_against_brute_force(spark, monkeypatch, seed, shard, n):
     monkeypatch.setattr(m, "TILE", 128)
     data = [r for r in rows(seed) if r[0] is not None]
