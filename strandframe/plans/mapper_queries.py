@@ -138,6 +138,18 @@ def map_paired(spark, d):
     return map_reads(_reads(spark, d), _seeds(spark, d), V.references(spark, d))
 
 
+def map_summary(spark, d):
+    """The run's figures: reads, mapped share and coverage of the rows of ``map_paired``."""
+    return E.run_summary(map_paired(spark, d), V.references(spark, d))
+
+
+def map_rate(spark, d):
+    """Mapped share of the rows of ``map_paired`` by batch."""
+    reads = _reads(spark, d)
+    rows = map_reads(reads, _seeds(spark, d), V.references(spark, d)).select("read_id", (~S.flag_set(F.col("flag"), 4)).alias("mapped"))
+    return E.mapping_rate(rows.join(reads.select("read_id", "batch_id"), "read_id"), ["batch_id"])
+
+
 def map_sorted_plain(spark, d):
     """The same without pairing, in the order of places."""
     return map_reads(_reads(spark, d), _seeds(spark, d), V.references(spark, d), pairing="none", style="plain", sort=True)
@@ -166,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_base_code, seq_revcomp, seq_orient, name_normalize, nuclear_references, read_estimate, syncmers, syncmer_density, index_raw_counts, index_hard_cap,
-        index_bucket_offsets, index_stats, seed_count_lookup, seed_join, seed_hits_capped, diag_votes, best_diag, top2_groups, align_single, map_paired,
+        index_bucket_offsets, index_stats, seed_count_lookup, seed_join, seed_hits_capped, diag_votes, best_diag, top2_groups, align_single, map_paired, map_summary, map_rate,
         map_sorted_plain, map_in_passes, simulated_reads, simulated_accuracy,
     )
 }
