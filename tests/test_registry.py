@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_twins_belong_to_queries():
     assert set(registry.SQL) <= set(registry.QUERIES)
-    assert len(registry.QUERIES) == 57
+    assert len(registry.QUERIES) == 59
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
