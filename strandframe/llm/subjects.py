@@ -132,8 +132,8 @@ class TopicModel:
         return np.where(self.subject >= 0, weights[:, self.subject], np.float32(1e-30))
 
 
-#: Tokens that are inferred in one go.
-TOKENS = 50_000
+#: Tokens that are inferred in one go, so few that their tables stay in a core's cache.
+TOKENS = 4_000
 
 
 @dataclass
@@ -225,7 +225,7 @@ def _inferred(batch: pa.RecordBatch, model: TopicModel, table: np.ndarray, prior
     return rare, parts()
 
 
-#: Expected counts below this are zero.
+#: Probabilities and expected counts below this are zero.
 LEAST = 1e-9
 
 
@@ -252,12 +252,16 @@ def _expected_counts(shared, prior: np.ndarray, size: int, subjects: int, settin
             rare, parts = _inferred(batch, model, table, prior, subjects, settings.inner)
             beyond = np.zeros((len(rare.words), topics))
             for part, sentence, _, topic, _ in parts:
-                order = np.argsort(part.tokens, kind="stable")
-                used, first = np.unique(part.tokens[order], return_index=True)
-                got = np.add.reduceat(topic[sentence[order]], first)
-                far = used >= size
-                sums[used[~far]] += got[~far]
-                beyond[used[far] - size] += got[far]
+                # Each token with the likely topics of its sentence.
+                of, topic_no = np.nonzero(topic > LEAST)
+                many = np.bincount(of, minlength=len(topic))
+                each = many[sentence]
+                at = np.repeat((np.cumsum(many) - many)[sentence] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                key = np.repeat(part.tokens.astype(np.int64), each) * topics + topic_no[at]
+                share = topic[of, topic_no].astype(np.float64)[at]
+                far = key >= size * topics
+                np.add.at(sums.reshape(-1), key[~far], share[~far])
+                np.add.at(beyond.reshape(-1), key[far] - size * topics, share[far])
             if len(rare.words):
                 counts = by_topic(beyond, model.own(model.spread(rare.weights)))
                 whole += counts.sum(axis=0)
